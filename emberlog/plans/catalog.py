@@ -1,5 +1,443 @@
-"""Every query of the log engine, with its SQL."""
+"""Every query of the log engine, with DuckDB SQL that says what it must return."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime, timezone
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import levels as L
+from ..functions import patterns as P
+from ..functions.text import signature, tokens
+from ..operators import anomaly, chains, compact, dedup, detect, enrich, filters, parse, reassemble
+from .eventlog import EV, ORDERS, as_log, ev_log, order_rows, rendered, utc
 
 FLAGSHIP = "pipeline_e2e"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a query, and its SQL where SQL can express it."""
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def _us(c="timestamp"):
+    return F.unix_micros(c)
+
+
+# ---- row filters
+
+_SINCE, _UNTIL = datetime(2024, 1, 10, tzinfo=timezone.utc), datetime(2024, 1, 20, tzinfo=timezone.utc)
+_NOISY = ["zone a", "ZONE B ", '{"k": 7}']
+_FILTERS = [filters.level_filter(L.WARN), filters.time_filter(_SINCE, _UNTIL), filters.noise_filter(_NOISY)]
+_IN_TIME = "(timestamp BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20')"
+_IS_NOISE = " OR ".join(f"contains(lower(message), '{p.lower()}')" for p in [*P.NOISE, *_NOISY])
+_ROW = "line_number, t, level, source, message"
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    return df.select("line_number", _us().alias("t"), "level", "source", "message")
+
+
+@query(f"WITH {EV} SELECT {_ROW} FROM ev WHERE level = 0 OR level >= 4")
+def level_filter(spark, sf_dir):
+    return _rows(filters.apply(ev_log(spark, sf_dir), [filters.level_filter(L.WARN)]))
+
+
+@query(f"WITH {EV} SELECT {_ROW} FROM ev WHERE {_IN_TIME}")
+def time_window_filter(spark, sf_dir):
+    return _rows(filters.apply(ev_log(spark, sf_dir), [filters.time_filter(_SINCE, _UNTIL)]))
+
+
+@query(f"WITH {EV} SELECT {_ROW} FROM ev WHERE NOT ({_IS_NOISE})")
+def noise_filter(spark, sf_dir):
+    return _rows(filters.apply(ev_log(spark, sf_dir), [filters.noise_filter(_NOISY)]))
+
+
+_DOC_NOISE = ["idiot", "casino", "$$$"]
+
+
+@query("SELECT doc_id FROM documents WHERE NOT (" + " OR ".join(f"contains(lower(text), '{p.lower()}')" for p in [*P.NOISE, *_DOC_NOISE]) + ")")
+def noise_filter_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("message"))
+    return filters.apply(docs, [filters.noise_filter(_DOC_NOISE)]).select("doc_id")
+
+
+@query(f"""WITH {EV} SELECT CASE WHEN NOT (level = 0 OR level >= 4) THEN 'level' WHEN NOT {_IN_TIME} THEN 'time' WHEN {_IS_NOISE} THEN 'noise' ELSE 'kept' END AS reason,
+  count(*) AS n FROM ev GROUP BY 1""")
+def drop_reason_counts(spark, sf_dir):
+    return filters.drop_counts(ev_log(spark, sf_dir), _FILTERS)
+
+
+@query(f"WITH {EV} SELECT line_number, level FROM ev WHERE level >= 3")
+def compact_level_floor(spark, sf_dir):
+    return ev_log(spark, sf_dir).filter(L.meets(F.col("level"), L.INFO)).select("line_number", "level")
+
+
+# ---- levels and sizes
+
+_RANK = """CASE WHEN {0} IN ('TRACE','T') THEN 1 WHEN {0} IN ('DEBUG','D','7') THEN 2 WHEN {0} IN ('INFO','I','6') THEN 3 WHEN {0} IN ('WARN','WARNING','W','4','5') THEN 4
+  WHEN {0} IN ('ERROR','ERR','E','3') THEN 5 WHEN {0} IN ('FATAL','CRITICAL','CRIT','F','0','1','2') THEN 6 ELSE 0 END"""
+
+
+@query("SELECT event_id, CAST(" + _RANK.format("upper(trim(CASE event_id % 6 WHEN 0 THEN ' warn ' WHEN 1 THEN event_type WHEN 2 THEN 'crit' WHEN 3 THEN CAST(user_id % 10 AS VARCHAR) WHEN 4 THEN 'e' ELSE 'Info' END))") + " AS INTEGER) AS level FROM events")
+def level_parse(spark, sf_dir):
+    k = F.col("event_id") % 6
+    word = F.when(k == 0, " warn ").when(k == 1, F.col("event_type")).when(k == 2, "crit").when(k == 3, (F.col("user_id") % 10).cast("string")).when(k == 4, "e").otherwise("Info")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", L.rank(word).alias("level"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), ' +'), lambda x: x <> '')[1:5] AS w FROM documents),
+  r AS (SELECT doc_id, list_filter(list_transform(list_transform(w, lambda x: regexp_replace(x, '^[\\[\\]():=-]+|[\\[\\]():=-]+$', '', 'g')),
+    lambda x: CASE WHEN regexp_full_match(x, '[0-9]*') THEN 0 ELSE {_RANK.format("upper(trim(x))")} END), lambda y: y > 0) AS r FROM w)
+  SELECT doc_id, CAST(coalesce(r[1], 0) AS INTEGER) AS level FROM r""")
+def infer_level(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", L.infer(F.col("text")).alias("level"))
+
+
+@query("SELECT doc_id, CAST((strlen(coalesce(text, '')) * 2 + 6) // 7 AS BIGINT) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tokens(F.col("text")).alias("tokens"))
+
+
+# ---- signatures and dedup
+
+_EDGED = [P.UUID, P.TIME, P.IPV4, P.IPV6, r"\b[0-9a-fA-F]{8,}\b", P.PATH, P.QUOTED, r"\b\d+"]
+_ALL = "|".join(_EDGED)
+_NAMED = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{tag}'" for (tag, _), p in zip(P.VARIABLE[:-1], _EDGED)) + " ELSE '<NUM>' END"
+
+
+def _signature_sql(text: str) -> str:
+    """In RE2, where the boundaries are ASCII ones."""
+    parts, found = f"string_split_regex({text}, '{_ALL}')", f"regexp_extract_all({text}, '{_ALL}')"
+    return f"array_to_string(list_transform(list_zip({parts}, list_transform({found}, lambda x: {_NAMED})), lambda p: p[1] || coalesce(p[2], '')), '')"
+
+
+@query(f"WITH {EV} SELECT line_number, {_signature_sql('message')} AS signature FROM ev")
+def signature_events(spark, sf_dir):
+    return dedup.with_signature(ev_log(spark, sf_dir)).select("line_number", "signature")
+
+
+@query(f"SELECT doc_id, {_signature_sql('text')} AS signature FROM documents")
+def signature_documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", signature(F.col("text")).alias("signature"))
+
+
+@query(f"SELECT page_id, {_signature_sql('url')} AS signature FROM pages")
+def signature_urls(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", signature(F.col("url")).alias("signature"))
+
+
+_SIG = f"{EV}, s AS (SELECT *, {_signature_sql('message')} AS signature FROM ev)"
+_KEPT = "r AS (SELECT *, row_number() OVER w AS occurrence_count, min(t) OVER w AS first_us FROM s WINDOW w AS (PARTITION BY signature ORDER BY t, source, line_number))"
+_SUMS = "m AS (SELECT signature, count(*) AS occurrence_count, min(t) AS first_us, max(t) AS last_us, arg_min(message, t) AS message, arg_min(level, t) AS level, arg_min(source, t) AS source FROM s GROUP BY 1 HAVING count(*) > 5)"
+
+
+def _signed(spark, sf_dir):
+    return dedup.with_signature(ev_log(spark, sf_dir))
+
+
+@query(f"WITH {_SIG} SELECT count(DISTINCT signature) AS unique_signatures FROM s")
+def unique_signatures(spark, sf_dir):
+    return dedup.unique_signatures(_signed(spark, sf_dir))
+
+
+@query(f"WITH {_SIG}, {_KEPT} SELECT line_number, signature, occurrence_count, first_us, t AS last_us FROM r WHERE occurrence_count <= 5")
+def dedup_keep_n(spark, sf_dir):
+    return dedup.kept(_signed(spark, sf_dir)).select("line_number", "signature", "occurrence_count", _us("first_seen").alias("first_us"), _us("last_seen").alias("last_us"))
+
+
+@query(f"WITH {_SIG}, {_SUMS} SELECT signature, occurrence_count, first_us, last_us, message, level, source FROM m")
+def dedup_summaries(spark, sf_dir):
+    return dedup.summaries(_signed(spark, sf_dir)).select("signature", "occurrence_count", _us("first_seen").alias("first_us"), _us("last_seen").alias("last_us"), "message", "level", "source")
+
+
+@query(f"""WITH {_SIG}, {_KEPT}, {_SUMS} SELECT signature, occurrence_count, level, source, message, false AS is_dedup_summary FROM r WHERE occurrence_count <= 5
+  UNION ALL SELECT signature, occurrence_count, level, source, message, true FROM m""")
+def dedup_union(spark, sf_dir):
+    rows = _signed(spark, sf_dir)
+    return dedup.union(dedup.kept(rows), dedup.summaries(rows)).select("signature", "occurrence_count", "level", "source", "message", "is_dedup_summary")
+
+
+# ---- anomalies
+
+_RATE = "b AS (SELECT source, t // 3600000000 AS bucket, count(*) AS n FROM ev GROUP BY ALL), q AS (SELECT source, count(*) AS buckets, CAST(median(n) AS DOUBLE) AS median FROM b GROUP BY 1)"
+
+
+@query(f"WITH {EV}, {_RATE} SELECT * FROM q")
+def source_rate_median(spark, sf_dir):
+    return anomaly.source_rates(ev_log(spark, sf_dir), 3600)
+
+
+@query(f"WITH {EV}, {_RATE} SELECT source, bucket, n, median FROM b JOIN q USING (source) WHERE buckets >= 10 AND n > 2 * median")
+def spike_detect(spark, sf_dir):
+    return anomaly.spike_buckets(ev_log(spark, sf_dir), 2.0, 3600)
+
+
+@query(f"WITH {EV}, {_RATE}, h AS (SELECT source, bucket FROM b JOIN q USING (source) WHERE buckets >= 10 AND n > 2 * median) SELECT line_number, h.source IS NOT NULL AS is_spike FROM ev LEFT JOIN h ON ev.source = h.source AND ev.t // 3600000000 = h.bucket")
+def spike_flag(spark, sf_dir):
+    return anomaly.flag_spikes(ev_log(spark, sf_dir), 2.0, 3600).select("line_number", "is_spike")
+
+
+_WINDOW = """c AS (SELECT t // 3600000000 AS bucket, count(*) AS n FROM ev WHERE level >= 5 GROUP BY 1), d AS (SELECT *, bucket - row_number() OVER (ORDER BY bucket) AS island FROM c WHERE n > 0.5 * (SELECT max(n) FROM c)),
+  i AS (SELECT min(bucket) AS a, max(bucket) AS z, max(n) AS top FROM d GROUP BY island ORDER BY top DESC, a LIMIT 1)"""
+
+
+@query(f"WITH {EV}, {_WINDOW} SELECT (a * 3600 - 900) * 1000000 AS since_us, ((z + 1) * 3600 + 900) * 1000000 AS until_us FROM i")
+def error_window(spark, sf_dir):
+    return anomaly.error_window(ev_log(spark, sf_dir), 3600, 0.5).select(_us("since").alias("since_us"), _us("until").alias("until_us"))
+
+
+@query(f"WITH {EV}, {_WINDOW} SELECT {_ROW} FROM ev, i WHERE t BETWEEN (a * 3600 - 900) * 1000000 AND ((z + 1) * 3600 + 900) * 1000000")
+def auto_window(spark, sf_dir):
+    return _rows(anomaly.auto_window(ev_log(spark, sf_dir), 3600, 0.5))
+
+
+@query(f"""WITH {_SIG} SELECT count(*) AS ingested, count(*) FILTER (level >= 4) AS survived, count(*) FILTER (NOT level >= 4) AS dropped, count(DISTINCT signature) FILTER (level >= 4) AS unique_signatures,
+  min(t) FILTER (level >= 4) AS start_us, max(t) FILTER (level >= 4) AS end_us FROM s""")
+def filter_stats(spark, sf_dir):
+    passes = F.col("level") >= 4
+    return _signed(spark, sf_dir).agg(
+        F.count("*").alias("ingested"), F.count_if(passes).alias("survived"), F.count_if(~passes).alias("dropped"), F.count_distinct(F.when(passes, F.col("signature"))).alias("unique_signatures"),
+        F.min(F.when(passes, _us())).alias("start_us"), F.max(F.when(passes, _us())).alias("end_us"),
+    )
+
+
+@query(f"WITH {EV} SELECT source, count(*) AS n FROM ev WHERE level >= 5 GROUP BY 1")
+def source_breakdown(spark, sf_dir):
+    return filters.apply(ev_log(spark, sf_dir), [filters.level_filter(L.ERROR)]).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EV} SELECT source, level, count(*) AS n FROM ev GROUP BY ALL")
+def source_stats(spark, sf_dir):
+    return parse.source_stats(ev_log(spark, sf_dir).withColumn("format", F.lit("raw"))).select("source", "level", "n")
+
+
+# ---- enrichment
+
+_SAID = """CASE o_orderkey % 7 WHEN 0 THEN 'GET /o HTTP/1.1 ' || (100 + o_custkey % 600) WHEN 1 THEN 'upstream status=' || (400 + o_custkey % 200) || ' trace_id=abc' || o_orderkey || '00000'
+  WHEN 2 THEN 'Caused by: java.io.Error' || o_custkey WHEN 3 THEN 'Exception: Timeout request-id: "' || o_orderkey || 'aaaaaaaa"' WHEN 4 THEN 'rolling update of shop' WHEN 5 THEN 'deployed version 1.2' ELSE 'order ' || o_orderkey || ' scaled up' END"""
+
+
+def _said(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    s = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    kinds = [s("GET /o HTTP/1.1 ", 100 + c % 600), s("upstream status=", 400 + c % 200, " trace_id=abc", k, "00000"), s("Caused by: java.io.Error", c), s("Exception: Timeout request-id: \"", k, "aaaaaaaa\""), F.lit("rolling update of shop"), F.lit("deployed version 1.2")]
+    message = s("order ", k, " scaled up")
+    for j, text in enumerate(kinds):
+        message = F.when(k % 7 == j, text).otherwise(message)
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", message.alias("message"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    return enrich.fields(rows)
+
+
+_STATUS = r"(?:HTTP[/ ][\d.]+\s+|status[= :]?\s*)(\d{3})\b"
+_M = f"m AS (SELECT o_orderkey, {_SAID} AS message FROM orders)"
+
+
+@query(f"WITH {_M}, x AS (SELECT o_orderkey, TRY_CAST(regexp_extract(message, '{_STATUS}', 1) AS INTEGER) AS s FROM m) SELECT o_orderkey, CASE WHEN s BETWEEN 100 AND 599 THEN s END AS http_status FROM x")
+def extract_http_status(spark, sf_dir):
+    return _said(spark, sf_dir).select("o_orderkey", "http_status")
+
+
+@query(f"WITH {_M} SELECT o_orderkey, nullif(regexp_extract(message, '{P.ERROR_TYPE}', 1), '') AS error_type FROM m")
+def extract_error_type(spark, sf_dir):
+    return _said(spark, sf_dir).select("o_orderkey", "error_type")
+
+
+@query(f"WITH {_M} SELECT o_orderkey, nullif(regexp_extract(message, '" + P.TRACE_ID.replace("'", "''") + "', 1), '') AS trace_id FROM m")
+def extract_trace_id(spark, sf_dir):
+    return _said(spark, sf_dir).select("o_orderkey", "trace_id")
+
+
+@query(f"WITH {_M} SELECT o_orderkey, regexp_matches(message, '(?i)({'|'.join(P.DEPLOY)})') AS is_deployment FROM m")
+def deploy_detect(spark, sf_dir):
+    return _said(spark, sf_dir).select("o_orderkey", "is_deployment")
+
+
+@query(f"""WITH {EV}, p AS (SELECT a.line_number, b.source FROM ev a JOIN ev b ON b.t BETWEEN a.t - 120000000 AND a.t AND b.line_number < a.line_number AND b.source <> a.source GROUP BY ALL)
+  SELECT line_number, coalesce(string_agg(p.source, ',' ORDER BY p.source), '') AS correlated_with FROM ev LEFT JOIN p USING (line_number) GROUP BY 1""")
+def correlate_sources(spark, sf_dir):
+    return enrich.correlate(ev_log(spark, sf_dir), 120).select("line_number", F.array_join("correlated_with", ",").alias("correlated_with"))
+
+
+_RULES = [
+    chains.Chain("signup-buy-fail", 600, (chains.Stage("^signup", 3), chains.Stage("^purchase", 4), chains.Stage("^error", 5))),
+    chains.Chain("fail-buy-signup", 300, (chains.Stage("^error", 5), chains.Stage("^purchase", 4), chains.Stage("^signup", 3))),
+]
+
+
+def _chain_sql() -> str:
+    parts = []
+    for c, rule in enumerate(_RULES):
+        kinds = [s.pattern[1:] for s in rule.stages]
+        parts.append(f"""SELECT {c} AS c, '{rule.name}' AS name, line_number AS a0, t, {rule.seconds}000000 AS w, event_type = '{kinds[0]}' AS s0,
+          min(CASE WHEN event_type = '{kinds[1]}' THEN line_number END) OVER f AS n1, event_type = '{kinds[1]}' AS s1, min(CASE WHEN event_type = '{kinds[2]}' THEN line_number END) OVER f AS n2
+          FROM ev WINDOW f AS (ORDER BY t, line_number ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)""")
+    return f"""WITH {EV}, h AS ({' UNION ALL '.join(parts)}),
+      j AS (SELECT h.c, h.name, h.a0, h.t, h.w, CASE WHEN k.t - h.t <= h.w THEN k.a0 END AS a1, CASE WHEN k.t - h.t <= h.w THEN k.n2 END AS m2 FROM h LEFT JOIN h k ON k.c = h.c AND k.a0 = h.n1 WHERE h.s0),
+      l AS (SELECT j.*, CASE WHEN e.t - j.t <= j.w THEN m2 END AS a2, row_number() OVER (ORDER BY j.t, a0, c) AS n FROM j LEFT JOIN ev e ON e.line_number = m2),
+      r AS (SELECT a0 AS line_number, 2 AS kind, n AS o, name || '-' || n AS id FROM l UNION ALL SELECT a1, 1, n, name || '-' || n FROM l WHERE a1 IS NOT NULL UNION ALL SELECT a2, 0, -n, name || '-' || n FROM l WHERE a2 IS NOT NULL)
+      SELECT line_number, arg_min(id, kind * 1000000000000 + o) AS chain_id FROM r GROUP BY 1"""
+
+
+@query(_chain_sql())
+def chain_match(spark, sf_dir):
+    return chains.matched(ev_log(spark, sf_dir), _RULES, ["line_number"])
+
+
+# ---- compaction
+
+_FLAGS = """f AS (SELECT *, line_number % 50 = 0 AS is_spike, CASE WHEN line_number % 40 < 2 THEN 'c-' || (line_number % 8) END AS chain_id, line_number % 33 = 0 AS is_deployment,
+  CASE WHEN line_number % 21 = 0 THEN 25 ELSE line_number % 21 END AS occurrence_count FROM ev)"""
+_SCORE = """z AS (SELECT *, CAST(CASE level WHEN 6 THEN 100 WHEN 5 THEN 60 WHEN 4 THEN 20 WHEN 3 THEN 5 ELSE 0 END + CASE WHEN is_spike THEN 40 ELSE 0 END + CASE WHEN chain_id IS NOT NULL THEN 50 ELSE 0 END
+  + CASE WHEN is_deployment THEN 30 ELSE 0 END + CASE WHEN occurrence_count > 1 THEN 5 * CAST(floor(log2(least(occurrence_count, 20))) AS BIGINT) ELSE 0 END AS BIGINT) AS score,
+  CASE WHEN chain_id IS NOT NULL AND level >= 5 THEN 'chains' WHEN is_spike THEN 'anomalies' WHEN level >= 5 THEN 'critical' WHEN level IN (4, 3) THEN 'context' END AS section FROM f WHERE level >= 3)"""
+_BEST = """y AS (SELECT * FROM z WHERE section <> 'chains' OR section IS NULL UNION ALL SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY score DESC, t, source, line_number) AS rn FROM z WHERE section = 'chains') WHERE rn = 1)"""
+_ENTRY = """strftime(timestamp, '%Y-%m-%dT%H:%M:%SZ') || ' [' || CASE level WHEN 5 THEN 'ERROR' WHEN 4 THEN 'WARN' ELSE 'INFO' END || '] ' || source || ': ' || message ||
+  CASE WHEN tags = '' THEN '' ELSE ' {' || tags || '}' END"""
+_TAGS = "concat_ws(' ', 'chain:' || chain_id, CASE WHEN is_deployment THEN 'deploy' END, CASE WHEN is_spike THEN 'spike' END, CASE WHEN occurrence_count > 1 THEN '×' || occurrence_count END)"
+
+
+def _flagged(spark, sf_dir):
+    n = F.col("line_number")
+    rows = ev_log(spark, sf_dir).withColumns({
+        "is_spike": n % 50 == 0, "chain_id": F.when(n % 40 < 2, F.concat(F.lit("c-"), (n % 8).cast("string"))), "is_deployment": n % 33 == 0, "occurrence_count": F.when(n % 21 == 0, 25).otherwise(n % 21).cast("long"),
+    })
+    return rows.withColumns({"http_status": F.lit(None).cast("int"), "error_type": F.lit(None).cast("string"), "trace_id": F.lit(None).cast("string")})
+
+
+@query(f"WITH {EV}, {_FLAGS}, {_SCORE} SELECT line_number, score FROM z")
+def score_entries(spark, sf_dir):
+    return _flagged(spark, sf_dir).filter("level >= 3").select("line_number", compact.score().alias("score"))
+
+
+@query(f"WITH {EV}, {_FLAGS}, {_SCORE}, {_BEST} SELECT line_number, section FROM y")
+def section_assign(spark, sf_dir):
+    return compact.scored(_flagged(spark, sf_dir)).select("line_number", "section")
+
+
+@query(f"""WITH {EV}, {_FLAGS}, {_SCORE}, {_BEST}, e AS (SELECT *, {_TAGS} AS tags FROM y WHERE section IS NOT NULL), g AS (SELECT *, {_ENTRY} AS entry FROM e),
+  k AS (SELECT *, (strlen(entry || chr(10)) * 2 + 6) // 7 AS tokens FROM g),
+  u AS (SELECT *, row_number() OVER w AS place, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS running, CASE section WHEN 'chains' THEN 3681 WHEN 'anomalies' THEN 1633 WHEN 'critical' THEN 814 ELSE 1633 END AS most FROM k WINDOW w AS (PARTITION BY section ORDER BY score DESC, t, source, line_number))
+  SELECT section, CAST(place AS INTEGER) AS place, line_number, entry, CAST(tokens AS BIGINT) AS tokens FROM u WHERE running <= most OR place = 1""")
+def budget_topk(spark, sf_dir):
+    return compact.budgeted(compact.scored(_flagged(spark, sf_dir))).select("section", "place", "line_number", "entry", "tokens")
+
+
+@query(f"""WITH {EV}, {_FLAGS}, {_SCORE}, {_BEST}, c AS (SELECT chain_id, min((-score, t, source)) AS r FROM y WHERE chain_id IS NOT NULL GROUP BY 1)
+  SELECT min(t) AS first_us, max(t) AS last_us, count(*) FILTER (level = 6) AS fatal, count(*) FILTER (level = 5) AS error, count(*) FILTER (level = 4) AS warn, count(*) FILTER (is_spike) AS spikes,
+  count(DISTINCT source) AS n_sources, (SELECT string_agg(chain_id, ', ' ORDER BY r, chain_id) FROM c) AS chains, (SELECT string_agg(source, ',' ORDER BY source) FROM (SELECT DISTINCT source FROM y ORDER BY 1 LIMIT 5)) AS sources FROM y""")
+def overview(spark, sf_dir):
+    r = compact.overview(compact.scored(_flagged(spark, sf_dir)))
+    return r.select(_us("first").alias("first_us"), _us("last").alias("last_us"), "fatal", "error", "warn", "spikes", "n_sources", "chains", F.array_join("sources", ",").alias("sources"))
+
+
+# ---- detection, reassembly, parsers (round trips: the SQL knows what was rendered)
+
+_FORMATS = ["json", "logfmt", "csv", "syslog-rfc3164", "syslog-rfc5424", "clf", "docker-json", "docker-compose", "cloudwatch", "kubernetes", "generic", "raw"]
+
+
+@query("SELECT 's-' || f AS source, f AS format FROM (VALUES " + ", ".join(f"('{f}')" for f in _FORMATS) + ") v(f)")
+def detect_format(spark, sf_dir):
+    rows = order_rows(spark, sf_dir)
+    parts = [rows.select(F.lit(f"s-{f}").alias("source"), F.dense_rank().over(_by_key()).cast("long").alias("line_number"), rendered(f).alias("text")) for f in _FORMATS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return detect.source_formats(out)
+
+
+def _by_key():
+    from pyspark.sql import Window
+
+    return Window.partitionBy(F.col("k") % 1).orderBy("k")
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'generic' WHEN o_orderkey % 5 = 1 THEN 'json' WHEN o_orderkey % 5 = 2 THEN 'logfmt' WHEN o_orderkey % 5 = 3 THEN 'clf' ELSE 'raw' END AS format FROM orders")
+def classify_lines(spark, sf_dir):
+    text = rendered("raw")
+    for k, f in enumerate(["generic", "json", "logfmt", "clf"]):
+        text = F.when(F.col("k") % 5 == k, rendered(f)).otherwise(text)
+    return order_rows(spark, sf_dir).select("k", detect.line_format(text).alias("format"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+  t AS (SELECT doc_id, n, CASE WHEN n % 7 = 5 THEN '' WHEN n % 3 = 0 THEN '2024-01-01 00:00:00 ' || x ELSE x END AS x FROM l),
+  f AS (SELECT *, trim(regexp_replace(x, '\\s+', ' ', 'g')) = '' AS blank, regexp_matches(x, '^\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}') AS new FROM t),
+  o AS (SELECT *, coalesce(max(CASE WHEN new THEN n END) OVER w, 0) AS s, coalesce(max(CASE WHEN blank THEN n END) OVER w, 0) AS b FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  g AS (SELECT *, max(CASE WHEN new OR s <= b THEN n END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS line_number FROM o WHERE NOT blank)
+  SELECT doc_id, line_number, string_agg(x, chr(10) ORDER BY n) AS text FROM g GROUP BY 1, 2""")
+def reassemble_lines(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n", "x"))
+    n = F.col("n") + 1
+    text = F.when(n % 7 == 5, "").when(n % 3 == 0, F.concat(F.lit("2024-01-01 00:00:00 "), "x")).otherwise(F.col("x"))
+    lines = docs.select(F.col("doc_id").cast("string").alias("source"), n.cast("long").alias("line_number"), text.alias("text"), F.lit("generic").alias("format"))
+    return reassemble.entries(lines).select(F.col("source").cast("long").alias("doc_id"), "line_number", "text")
+
+
+def _round_trip(fmt: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_rows(spark, sf_dir)
+    lines = rows.select(F.lit("f").alias("source"), F.lit(fmt).alias("format"), F.col("k").alias("line_number"), rendered(fmt).alias("text"))
+    if fmt == "csv":
+        lines = lines.union(spark.createDataFrame([("f", fmt, -1, "timestamp,level,message,customer")], lines.schema))
+    out = parse.parse(lines, 1990)
+    meta = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return out.select(F.col("line_number").alias("k"), _us().alias("ts_us"), "level", "message", F.coalesce(meta, F.lit("")).alias("metadata"))
+
+
+_WORD, _T = "CASE level WHEN 5 THEN 'ERROR' WHEN 4 THEN 'WARN' ELSE 'INFO' END", "epoch_us(ts)"
+_CODE = "CASE level WHEN 5 THEN '500' WHEN 4 THEN '404' ELSE '200' END"
+_BSD = "epoch_us(CAST('1990' || strftime(ts, '-%m-%d %H:%M:%S') AS TIMESTAMP))"
+_BACK = {
+    "json": (_T, "message", "'customer=' || customer"), "logfmt": (_T, "message", "'customer=' || customer"), "csv": (_T, "message", "'customer=' || customer"),
+    "syslog-rfc3164": (_BSD, "message", "'app=shop;hostname=host' || customer || ';pid=77'"), "syslog-rfc5424": (_T, "message", "'app=shop;hostname=host' || customer || ';pid=77'"),
+    "clf": (_T, f"'GET /o/' || customer || ' HTTP/1.1 ' || {_CODE}", f"'host=10.0.0.1;request=GET /o/' || customer || ' HTTP/1.1;size=12;status=' || {_CODE}"),
+    "docker-json": (_T, f"{_WORD} || ': ' || message", "'stream=stdout'"), "docker-compose": (_T, f"{_WORD} || ' ' || message", "'container=shop-1'"),
+    "cloudwatch": (_T, f"{_WORD} || ': ' || message", "'logStream=s' || customer"), "kubernetes": (_T, f"{_WORD} || ' ' || message", "'stream=stderr'"),
+    "generic": (_T, f"{_WORD} || ' ' || message", "''"), "raw": ("CAST(NULL AS BIGINT)", f"{_WORD} || ': ' || message", "''"),
+}
+for _fmt, (_ts, _message, _meta) in _BACK.items():
+    query(f"WITH {ORDERS} SELECT k, {_ts} AS ts_us, CAST(level AS INTEGER) AS level, {_message} AS message, {_meta} AS metadata FROM o", f"parse_{_fmt.replace('-', '_')}")(partial(_round_trip, _fmt))
+
+
+# ---- streaming and the whole
+
+@query(f"WITH {EV} SELECT t // 3600000000 * 3600000000 AS start_us, source, level, count(*) AS n FROM ev GROUP BY ALL")
+def streaming_window_counts(spark, sf_dir):
+    from ..streaming import jobs
+
+    return jobs.drained(jobs.window_counts(_event_stream(spark, sf_dir), "1 hour"), "emberlog_window_counts", "complete").select(_us("start").alias("start_us"), "source", "level", "n")
+
+
+def _event_stream(spark, sf_dir):
+    utc(spark)
+    folder, name = sf_dir.rstrip("/"), "events.parquet"
+    schema = spark.read.parquet(f"{folder}/{name}").schema
+    # a file source lists folders and patterns; this pattern fits the one name, be it a file or a folder
+    return as_log(spark.readStream.schema(schema).parquet(f"{folder}/[e]{name[1:]}"))
+
+
+@query(f"""WITH {_SIG.replace('FROM ev)', 'FROM ev WHERE level >= 4)')}, {_KEPT}, {_SUMS}, k AS (SELECT * FROM r WHERE occurrence_count <= 5), b AS (SELECT source, t // 3600000000 AS bucket, count(*) AS n FROM k GROUP BY ALL),
+  q AS (SELECT source, count(*) AS buckets, median(n) AS median FROM b GROUP BY 1), h AS (SELECT source, bucket FROM b JOIN q USING (source) WHERE buckets >= 10 AND n > 2 * median),
+  a AS (SELECT signature, occurrence_count, level, k.source, k.message, h.bucket IS NOT NULL AS is_spike, false AS is_dedup_summary FROM k LEFT JOIN h ON h.source = k.source AND h.bucket = k.t // 3600000000
+    UNION ALL SELECT signature, occurrence_count, level, source, message, false, true FROM m)
+  SELECT *, CAST(CASE level WHEN 5 THEN 60 WHEN 4 THEN 20 ELSE 0 END + CASE WHEN is_spike THEN 40 ELSE 0 END + CASE WHEN occurrence_count > 1 THEN 5 * CAST(floor(log2(least(occurrence_count, 20))) AS BIGINT) ELSE 0 END AS BIGINT) AS score,
+  CASE WHEN is_spike THEN 'anomalies' WHEN level >= 5 THEN 'critical' ELSE 'context' END AS section FROM a""")
+def pipeline_e2e(spark, sf_dir):
+    """Which errors mattered: filter, dedup, spikes, score, section."""
+    rows = dedup.with_signature(filters.apply(ev_log(spark, sf_dir), [filters.level_filter(L.WARN)]))
+    kept = anomaly.flag_spikes(dedup.kept(rows), 2.0, 3600)
+    both = dedup.union(kept, dedup.summaries(rows)).withColumn("is_spike", F.coalesce("is_spike", F.lit(False)))
+    both = both.withColumns({"chain_id": F.lit(None).cast("string"), "is_deployment": F.lit(False)})
+    return both.select("signature", "occurrence_count", "level", "source", "message", "is_spike", "is_dedup_summary", compact.score().alias("score"), compact.section().alias("section"))
