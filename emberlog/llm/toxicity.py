@@ -41,12 +41,12 @@ LANGS = [*FUNCTION_WORDS]
 class Params:
     """``per_class`` bounds the labelled rows of each class that are fitted."""
 
-    per_class: tuple[int, int] = (3000, 2000)  # not toxic, toxic
+    per_class: tuple[int, int] = (6000, 3000)  # not toxic, toxic
     buckets: int = 1 << 15
     dims: int = 8
     filters: int = 8
     widths: tuple[int, ...] = (1, 2, 3)
-    epochs: int = 6
+    epochs: int = 8
     batch: int = 64
     rate: float = 0.08
     seed: int = 11
@@ -249,8 +249,9 @@ def _threshold(logit: np.ndarray, y: np.ndarray) -> float:
     x, t = logit[order], y[order]
     above = np.cumsum(t[::-1])[::-1]  # toxic at or above each cut
     f1 = 2 * above / (np.arange(len(t), 0, -1) + t.sum())
-    best = int(np.flatnonzero(f1 >= f1.max() - 1e-12)[0])
-    return float((x[best - 1] + x[best]) / 2 if best else x[0] - 1)
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    below = x[best[0] - 1] if best[0] else x[0] - 2
+    return float((below + x[best[-1]]) / 2)
 
 
 def _logits(m: Model, docs, whole, stem, codes, pad):
