@@ -93,36 +93,39 @@ def removed(ends: list[int], got: np.ndarray, again: np.ndarray, elsewhere: set[
 
 
 def repeated(docs: DataFrame, run: int = 3, min_words: int = 8, salts: int = 16) -> DataFrame:
-    """(doc_id, text_hash, runs): hashes of the runs that an earlier document has, for documents with any."""
+    """(doc_id, runs): hashes of the runs that an earlier document has, for documents with any.
+
+    Whether a run goes depends on the doc_id alone, so rows that share one need not be told apart.
+    """
     small_batches(docs.sparkSession)
 
     def cut(batches):
         cuts = _Cut()
         for b in batches:
             every = []
-            for t in b.column(2).to_pylist():
+            for t in b.column(1).to_pylist():
                 _, got, again = runs(t, run, min_words, cuts)
                 every.append(got[~again & (got != 0)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(every, pa.list_(pa.int64()))], ["doc_id", "text_hash", "runs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(every, pa.list_(pa.int64()))], ["doc_id", "runs"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), docs["text"].cast("string").alias("t"))
-    held = stored(rows.mapInArrow(cut, "doc_id long, text_hash long, runs array<bigint>"), "runs")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("t"))
+    held = stored(rows.mapInArrow(cut, "doc_id long, runs array<bigint>"), "runs")
     every = held.filter("doc_id IS NOT NULL").select("doc_id", F.explode("runs").alias("run"))
     least = every.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared = least.filter("first < last").select("run", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salt = F.pmod(F.xxhash64("text_hash"), F.lit(salts)).cast("int").alias("salt")
-    own = held.filter("doc_id IS NOT NULL").select("doc_id", "text_hash", salt, F.explode("runs").alias("run"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
+    own = held.filter("doc_id IS NOT NULL").select("doc_id", salt, F.explode("runs").alias("run"))
     later = own.join(shared, ["run", "salt"]).filter("doc_id > first")
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set("run").alias("runs"))
+    return later.groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
 
 
 def dedup(docs: DataFrame, run: int = 3, min_words: int = 8) -> DataFrame:
     """(row, text, n_sentences, n_removed) for every row of ``docs``: the row as it was, its text as it is now."""
     small_batches(docs.sparkSession)
     found = repeated(docs, run, min_words)
-    found = found.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("runs").alias("__r"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("__doc"), F.xxhash64(docs["text"]).alias("__hash"), docs["text"].cast("string").alias("t"))
-    rows = rows.join(found, (F.col("__doc") == F.col("__d")) & (F.col("__hash") == F.col("__h")), "left").select("row", "t", "__r")
+    found = found.select(F.col("doc_id").alias("__d"), F.col("runs").alias("__r"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("__doc"))
+    rows = rows.join(found, F.col("__doc") == F.col("__d"), "left").select("row", F.col("row.text").cast("string").alias("t"), "__r")
 
     def cut(batches):
         cuts = _Cut()
