@@ -10,6 +10,11 @@ from . import patterns as P
 _ANY = "|".join(p for _, p in P.VARIABLE)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once for a row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def signature(message: Column) -> Column:
     """The message with its variable parts replaced by placeholders.
 

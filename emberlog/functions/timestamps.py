@@ -38,7 +38,6 @@ def parse(text: Column, ref_year: int | None = None) -> Column:
     return out.otherwise(epoch)
 
 
-def prefix(text: Column) -> tuple[Column, Column]:
-    """(timestamp, its text) of the timestamp that the text begins with; null and empty if none."""
-    head = F.regexp_extract(text, PREFIX, 1)
-    return parse(head), head
+def prefix(text: Column) -> Column:
+    """The text of the timestamp that a text begins with; empty if none."""
+    return F.regexp_extract(text, PREFIX, 1)

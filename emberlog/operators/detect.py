@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.text import let
 
 FORMATS = ["json", "docker-json", "cloudwatch", "kubernetes", "syslog-rfc5424", "syslog-rfc3164", "clf", "csv", "logfmt", "docker-compose", "generic", "raw"]
 
@@ -32,27 +33,26 @@ def csv_fields(text: Column) -> Column:
 
 def is_csv_header(text: Column) -> Column:
     """Two fields or more, and two or more of them known column names."""
-    fields = csv_fields(text)
-    known = F.filter(fields, lambda x: F.lower(F.trim(x)).isin(P.CSV_HEADERS))
-    return (F.size(fields) >= 2) & (F.size(known) >= 2)
+    known = F.filter(csv_fields(text), lambda x: F.lower(F.trim(x)).isin(P.CSV_HEADERS))
+    return F.size(known) >= 2
 
 
 def line_format(text: Column) -> Column:
     """The most specific format that a line fits; null for blank lines."""
     text = F.coalesce(text, F.lit(""))
-    keys = F.map_keys(json_map(text))
-    has = lambda *names: F.forall(F.array(*map(F.lit, names)), lambda n: F.array_contains(keys, n))
+
+    def of_json(keys):
+        has = lambda *names: F.size(F.array_intersect(keys, F.array(*map(F.lit, names)))) == len(names)
+        out = F.when(has("log", "stream", "time"), "docker-json").when(has("@timestamp", "@message"), "cloudwatch")
+        return out.when(F.arrays_overlap(keys, F.array(*map(F.lit, ("level", "severity", "msg", "message")))), "json")
+
     out = F.when(F.trim(text) == "", F.lit(None).cast("string"))
-    out = out.when(text.startswith("{") & has("log", "stream", "time"), "docker-json")
-    out = out.when(text.startswith("{") & has("@timestamp", "@message"), "cloudwatch")
-    out = out.when(text.startswith("{") & F.arrays_overlap(keys, F.array(*map(F.lit, ("level", "severity", "msg", "message")))), "json")
-    out = out.when(text.rlike(P.KUBERNETES) | text.rlike(P.KUBE_PREFIXED), "kubernetes")
-    out = out.when(text.rlike(P.SYSLOG_5424), "syslog-rfc5424").when(text.rlike(P.SYSLOG_3164), "syslog-rfc3164")
-    out = out.when(text.rlike(P.CLF), "clf")
-    out = out.when(is_csv_header(text) | text.rlike(P.CSV_DATA), "csv")
-    out = out.when(F.regexp_count(text, F.lit(P.LOGFMT_PAIR)) >= 3, "logfmt")
-    out = out.when(text.rlike(P.COMPOSE), "docker-compose").when(text.rlike(P.GENERIC), "generic")
-    return out.otherwise("raw")
+    json_like = F.when(text.startswith("{"), let(F.map_keys(json_map(text)), of_json))
+    rest = F.when(text.rlike(P.KUBERNETES) | text.rlike(P.KUBE_PREFIXED), "kubernetes")
+    rest = rest.when(text.rlike(P.SYSLOG_5424), "syslog-rfc5424").when(text.rlike(P.SYSLOG_3164), "syslog-rfc3164")
+    rest = rest.when(text.rlike(P.CLF), "clf").when(is_csv_header(text) | text.rlike(P.CSV_DATA), "csv")
+    rest = rest.when(F.regexp_count(text, F.lit(P.LOGFMT_PAIR)) >= 3, "logfmt").when(text.rlike(P.COMPOSE), "docker-compose")
+    return out.otherwise(F.coalesce(json_like, rest.when(text.rlike(P.GENERIC), "generic"), F.lit("raw")))
 
 
 def source_formats(lines: DataFrame, sample: int = 100, share: float = 0.6) -> DataFrame:

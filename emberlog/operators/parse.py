@@ -11,22 +11,21 @@ from pyspark.sql import functions as F
 from ..functions import levels as L
 from ..functions import patterns as P
 from ..functions import timestamps as T
+from ..functions.text import let
 from .detect import csv_fields, is_csv_header, json_map
 
-ENTRY = "struct<ts:timestamp,level:int,message:string,metadata:map<string,string>>"
+#: What a parser finds: the time's text, the level as a word or rank, and whether a time is a must.
+ENTRY = "struct<ts:string,word:string,level:int,message:string,metadata:map<string,string>,timed:boolean>"
 #: Keys of the common fields, the first present one counts.
 TIME_KEYS = ["timestamp", "ts", "time", "@timestamp", "t"]
 LEVEL_KEYS = ["level", "severity", "lvl"]
 MESSAGE_KEYS = ["msg", "message", "log"]
 
 
-def _entry(ts: Column, level: Column, message: Column, metadata: Column | None = None) -> Column:
-    meta = F.lit(None).cast("map<string,string>") if metadata is None else metadata
-    return F.struct(ts.cast("timestamp").alias("ts"), level.cast("int").alias("level"), message.alias("message"), meta.alias("metadata")).cast(ENTRY)
-
-
-def _none() -> Column:
-    return F.lit(None).cast(ENTRY)
+def _entry(ts: Column, word: Column, level: Column | int, message: Column, metadata: Column | None = None, timed: bool = False) -> Column:
+    meta = F.lit(None) if metadata is None else metadata
+    level = F.lit(level) if isinstance(level, int) else level
+    return F.struct(ts.alias("ts"), word.alias("word"), level.alias("level"), message.alias("message"), meta.alias("metadata"), F.lit(timed).alias("timed")).cast(ENTRY)
 
 
 def _pairs(**columns: Column) -> Column:
@@ -48,18 +47,17 @@ def _from_map(m: Column) -> Column:
     """Common fields out of a map; what is left is metadata."""
     (ts, ts_key), (level, level_key), (message, message_key) = (_picked(m, k) for k in (TIME_KEYS, LEVEL_KEYS, MESSAGE_KEYS))
     rest = F.map_filter(m, lambda k, _: ~(k.eqNullSafe(ts_key) | k.eqNullSafe(level_key) | k.eqNullSafe(message_key)))
-    return F.when(m.isNotNull(), _entry(T.parse(ts), L.rank(level), F.coalesce(message, F.lit("")), F.when(F.size(rest) > 0, rest)))
+    return F.when(m.isNotNull(), _entry(ts, level, L.UNKNOWN, F.coalesce(message, F.lit("")), F.when(F.size(rest) > 0, rest)))
 
 
-def _word_level(message: Column, default: Column | int = L.UNKNOWN, colon: bool = True) -> Column:
-    """Rank of the word before the first space, or ``default``."""
+def _word(message: Column, colon: bool = True) -> Column:
+    """The word before the first space, which may name the level."""
     first = F.regexp_extract(message, r"^([^ ]+) ", 1)
-    found = L.rank(F.regexp_replace(first, ":+$", "") if colon else first)
-    return F.when(found > 0, found).otherwise(F.lit(default) if isinstance(default, int) else default)
+    return F.regexp_replace(first, ":+$", "") if colon else first
 
 
 def json(text: Column) -> Column:
-    return _from_map(json_map(text))
+    return let(json_map(text), _from_map)
 
 
 def logfmt(text: Column) -> Column:
@@ -72,21 +70,22 @@ def logfmt(text: Column) -> Column:
         return F.when(v.startswith('"'), quoted).otherwise(v)
 
     m = _last_wins(F.transform(keys, F.trim), F.transform(values, bare))
-    return F.when(F.size(keys) > 0, _from_map(m)).otherwise(_none())
+    return let(F.when(F.size(keys) > 0, m), _from_map)
 
 
 def _last_wins(keys: Column, values: Column) -> Column:
     """A map whose repeated keys keep the last value, whatever the session's policy for them."""
-    both = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    last = F.filter(both, lambda x, i: ~F.exists(F.slice(both, i + 2, F.greatest(F.size(both) - i - 1, F.lit(0))), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    def unique(both):
+        last = F.filter(both, lambda x, i: ~F.exists(F.slice(both, i + 2, F.size(both)), lambda y: y["k"] == x["k"]))
+        return F.map_from_entries(last)
+
+    return let(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v"))), unique)
 
 
-def syslog_3164(text: Column, ref_year: int) -> Column:
+def syslog_3164(text: Column) -> Column:
     g = lambda k: F.regexp_extract(text, P.SYSLOG_3164_FULL, k)
-    ts = T.parse(F.concat_ws(" ", g(2), g(3), g(4)), ref_year)
     level = L.severity(F.pmod(g(1).try_cast("int"), F.lit(8)))
-    return F.when(text.rlike(P.SYSLOG_3164_FULL), _entry(ts, level, g(8), _pairs(hostname=g(5), app=g(6), pid=g(7))))
+    return F.when(text.rlike(P.SYSLOG_3164_FULL), _entry(F.concat_ws(" ", g(2), g(3), g(4)), F.lit(None), level, g(8), _pairs(hostname=g(5), app=g(6), pid=g(7))))
 
 
 def syslog_5424(text: Column) -> Column:
@@ -94,7 +93,7 @@ def syslog_5424(text: Column) -> Column:
     pid = F.when(g(6) != "-", g(6)).otherwise("")
     level = L.severity(F.pmod(g(1).try_cast("int"), F.lit(8)))
     message = F.regexp_replace(g(8), P.SYSLOG_5424_DATA, "")
-    return F.when(text.rlike(P.SYSLOG_5424_FULL), _entry(T.parse(g(3)), level, message, _pairs(hostname=g(4), app=g(5), pid=pid)))
+    return F.when(text.rlike(P.SYSLOG_5424_FULL), _entry(g(3), F.lit(None), level, message, _pairs(hostname=g(4), app=g(5), pid=pid)))
 
 
 def clf(text: Column) -> Column:
@@ -102,52 +101,57 @@ def clf(text: Column) -> Column:
     status = g(6).try_cast("int")
     level = F.when(status >= 500, L.ERROR).when(status >= 400, L.WARN).otherwise(L.INFO)
     meta = _pairs(host=g(1), request=g(5), status=g(6), size=g(7))
-    return F.when(text.rlike(P.CLF_FULL), _entry(T.parse(g(4)), level, F.concat_ws(" ", g(5), g(6)), meta))
+    return F.when(text.rlike(P.CLF_FULL), _entry(g(4), F.lit(None), level, F.concat_ws(" ", g(5), g(6)), meta))
 
 
 def docker_json(text: Column) -> Column:
-    m = json_map(text)
-    at = lambda k: F.try_element_at(m, F.lit(k))
-    message = F.regexp_replace(F.coalesce(at("log"), F.lit("")), r"\n+\z", "")
-    stream = F.when(at("stream") == "stderr", L.ERROR).otherwise(L.INFO)
-    return F.when(at("stream").isin("stdout", "stderr"), _entry(T.parse(at("time")), _word_level(message, stream), message, _pairs(stream=at("stream"))))
+    def entry(m):
+        at = lambda k: F.try_element_at(m, F.lit(k))
+        message = F.regexp_replace(F.coalesce(at("log"), F.lit("")), r"\n+\z", "")
+        level = F.when(at("stream") == "stderr", L.ERROR).otherwise(L.INFO)
+        return F.when(at("stream").isin("stdout", "stderr"), _entry(at("time"), _word(message), level, message, _pairs(stream=at("stream"))))
+
+    return let(json_map(text), entry)
 
 
 def docker_compose(text: Column) -> Column:
     name, rest = F.regexp_extract(text, r"(?d)^(.*?) \| ", 1), F.regexp_replace(text, r"(?d)^.*? \| ", "")
-    ts, head = T.prefix(rest)
-    message = F.when(ts.isNotNull(), F.ltrim(F.substr(rest, F.length(head) + 1))).otherwise(rest)
-    return F.when(text.contains(" | "), _entry(ts, _word_level(message), message, _pairs(container=F.trim(name))))
+    head = T.prefix(rest)
+    message = F.when(head != "", F.ltrim(F.substr(rest, F.length(head) + 1))).otherwise(rest)
+    return F.when(text.contains(" | "), _entry(head, _word(message), L.UNKNOWN, message, _pairs(container=F.trim(name))))
 
 
 def cloudwatch(text: Column) -> Column:
-    m = json_map(text)
-    at = lambda k: F.try_element_at(m, F.lit(k))
-    message = at("@message")
-    return F.when(at("@timestamp").isNotNull() & message.isNotNull(), _entry(T.parse(at("@timestamp")), _word_level(message), message, _pairs(logStream=at("@logStream"))))
+    def entry(m):
+        at = lambda k: F.try_element_at(m, F.lit(k))
+        message = at("@message")
+        return F.when(at("@timestamp").isNotNull() & message.isNotNull(), _entry(at("@timestamp"), _word(message), L.UNKNOWN, message, _pairs(logStream=at("@logStream"))))
+
+    return let(json_map(text), entry)
 
 
 def kubernetes(text: Column) -> Column:
     """Container runtime lines (time, stream, flag, message) and lines that a ``[resource]`` stands before."""
-    parts = F.split(text, " ", 4)
-    stream, message = F.get(parts, F.lit(1)), F.coalesce(F.get(parts, F.lit(3)), F.lit(""))
-    level = F.when(stream == "stderr", L.ERROR).otherwise(L.INFO)
-    cri = F.when((F.size(parts) == 4) & stream.isin("stdout", "stderr"), _entry(T.parse(F.get(parts, F.lit(0))), _word_level(message, level), message, _pairs(stream=stream)))
+    def runtime(parts):
+        stream, message = F.get(parts, F.lit(1)), F.coalesce(F.get(parts, F.lit(3)), F.lit(""))
+        level = F.when(stream == "stderr", L.ERROR).otherwise(L.INFO)
+        return F.when((F.size(parts) == 4) & stream.isin("stdout", "stderr"), _entry(F.get(parts, F.lit(0)), _word(message), level, message, _pairs(stream=stream)))
+
     rest = F.ltrim(F.regexp_replace(text, r"(?d)^\[[^\]]*\]", ""))
-    ts, head = T.prefix(rest)
+    head = T.prefix(rest)
     body = F.ltrim(F.substr(rest, F.length(head) + 1))
-    prefixed = F.when(ts.isNotNull(), _entry(ts, _word_level(body), body, _pairs(resource=F.regexp_extract(text, r"^\[([^\]]*)\]", 1))))
-    return F.when(text.startswith("["), prefixed).otherwise(cri)
+    prefixed = F.when(head != "", _entry(head, _word(body), L.UNKNOWN, body, _pairs(resource=F.regexp_extract(text, r"^\[([^\]]*)\]", 1)), True))
+    return F.when(text.startswith("["), prefixed).otherwise(let(F.split(text, " ", 4), runtime))
 
 
 def generic(text: Column) -> Column:
-    ts, head = T.prefix(text)
+    head = T.prefix(text)
     message = F.ltrim(F.substr(text, F.length(head) + 1))
-    return F.when(ts.isNotNull(), _entry(ts, _word_level(message, colon=False), message))
+    return F.when(head != "", _entry(head, _word(message, colon=False), L.UNKNOWN, message, timed=True))
 
 
 def raw(text: Column) -> Column:
-    return _entry(F.lit(None), F.lit(L.UNKNOWN), text)
+    return _entry(F.lit(None), F.lit(None), L.UNKNOWN, text)
 
 
 def csv(text: Column, header: Column) -> Column:
@@ -156,7 +160,7 @@ def csv(text: Column, header: Column) -> Column:
     fields = csv_fields(text)
     n = F.least(F.size(names), F.size(fields))
     m = _last_wins(F.slice(names, F.lit(1), n), F.slice(fields, F.lit(1), n))
-    return F.when(header.isNotNull(), _from_map(F.map_filter(m, lambda k, v: v != "")))
+    return let(F.when(header.isNotNull(), F.map_filter(m, lambda k, v: v != "")), _from_map)
 
 
 def with_headers(entries: DataFrame) -> DataFrame:
@@ -170,22 +174,42 @@ def with_headers(entries: DataFrame) -> DataFrame:
     return out.filter(~(F.col("header").isNotNull() & (F.col("line_number") == F.col("__at")))).drop("__at")
 
 
-def parse(entries: DataFrame, ref_year: int) -> DataFrame:
-    """``log_entry`` rows: timestamp, level, source, message, raw_line, line_number, metadata (and format).
-
-    Entries that their parser rejects are left out. Levels still unknown are inferred from the message.
-    """
-    text, fmt = F.col("text"), F.col("format")
+def parsed(text: Column, fmt: Column, header: Column | None = None, formats: list[str] | None = None) -> Column:
+    """What the format's parser finds; null where it rejects the text. ``formats``: those that occur, if known."""
     parsers = {
-        "json": json(text), "logfmt": logfmt(text), "csv": csv(text, F.col("header")), "syslog-rfc3164": syslog_3164(text, ref_year), "syslog-rfc5424": syslog_5424(text), "clf": clf(text),
-        "docker-json": docker_json(text), "docker-compose": docker_compose(text), "cloudwatch": cloudwatch(text), "kubernetes": kubernetes(text), "generic": generic(text),
+        "json": json, "logfmt": logfmt, "syslog-rfc3164": syslog_3164, "syslog-rfc5424": syslog_5424, "clf": clf,
+        "docker-json": docker_json, "docker-compose": docker_compose, "cloudwatch": cloudwatch, "kubernetes": kubernetes, "generic": generic,
     }
-    parsed = raw(text)
+    out = raw(text)
     for name, p in parsers.items():
-        parsed = F.when(fmt == name, p).otherwise(parsed)
-    rows = with_headers(entries).withColumn("__p", parsed).filter("__p IS NOT NULL")
-    level = F.when((F.col("__p.level") == 0) & (F.col("__p.message") != ""), L.infer(F.col("__p.message"))).otherwise(F.col("__p.level"))
-    return rows.select(F.col("__p.ts").alias("timestamp"), level.alias("level"), "source", F.col("__p.message").alias("message"), text.alias("raw_line"), "line_number", F.col("__p.metadata").alias("metadata"), "format")
+        if formats is None or name in formats:
+            out = F.when(fmt == name, p(text)).otherwise(out)
+    return out if header is None or formats is not None and "csv" not in formats else F.when(fmt == "csv", csv(text, header)).otherwise(out)
+
+
+def finished(rows: DataFrame, ref_year: int) -> DataFrame:
+    """``log_entry`` rows from rows with ``__p``, what parsers found: times and levels are read once, for all formats.
+
+    A level word that names a level goes before the parser's own rank; what is still unknown is inferred
+    from the message. Only RFC 3164 times, which lack a year, take ``ref_year``.
+    """
+    ts = T.parse(F.col("__p.ts"), ref_year)
+    ts = F.when((F.col("format") == "syslog-rfc3164") | ~F.coalesce(F.col("__p.ts"), F.lit("")).rlike("^[A-Z][a-z]{2} +[0-9]{1,2} [0-9]"), ts)
+    named = L.rank(F.col("__p.word"))
+    rows = rows.filter("__p IS NOT NULL").withColumns({"__ts": ts, "__named": F.when(named > 0, named).otherwise(F.col("__p.level"))})
+    rows = rows.filter("NOT __p.timed OR __ts IS NOT NULL")
+    level = F.when((F.col("__named") == 0) & (F.col("__p.message") != ""), L.infer(F.col("__p.message"))).otherwise(F.col("__named"))
+    return rows.select(F.col("__ts").alias("timestamp"), level.alias("level"), "source", F.col("__p.message").alias("message"), F.col("text").alias("raw_line"), "line_number", F.col("__p.metadata").alias("metadata"), "format")
+
+
+def parse(entries: DataFrame, ref_year: int, formats: list[str] | None = None) -> DataFrame:
+    """``log_entry`` rows: timestamp, level, source, message, raw_line, line_number, metadata (and format).
+
+    Entries that their parser rejects are left out. With the ``formats`` that occur (there are twelve) only
+    their parsers go into the plan.
+    """
+    rows = with_headers(entries) if formats is None or "csv" in formats else entries.withColumn("header", F.lit(None).cast("array<string>"))
+    return finished(rows.withColumn("__p", parsed(F.col("text"), F.col("format"), F.col("header"), formats)), ref_year)
 
 
 def source_stats(entries: DataFrame) -> DataFrame:

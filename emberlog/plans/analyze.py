@@ -33,8 +33,9 @@ class Options:
 
 def ingest(lines: DataFrame, ref_year: int, sample: int = 100) -> DataFrame:
     """``log_entry`` rows from ``raw_line`` rows. Formats are one small row for each source."""
-    formats = detect.source_formats(lines, sample)
-    return parse.parse(reassemble.entries(lines.join(formats, "source")), ref_year)
+    formats = detect.source_formats(lines, sample).cache()
+    names = [r["format"] for r in formats.select("format").distinct().collect()]
+    return parse.parse(reassemble.entries(lines.join(formats, "source")), ref_year, names)
 
 
 def filtered(entries: DataFrame, opts: FilterOptions, stdin: bool = False) -> DataFrame:

@@ -391,14 +391,14 @@ def _round_trip(fmt: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = rows.select(F.lit("f").alias("source"), F.lit(fmt).alias("format"), F.col("k").alias("line_number"), rendered(fmt).alias("text"))
     if fmt == "csv":
         lines = lines.union(spark.createDataFrame([("f", fmt, -1, "timestamp,level,message,customer")], lines.schema))
-    out = parse.parse(lines, 1990)
+    out = parse.parse(lines, 1992, [fmt])
     meta = F.array_join(F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return out.select(F.col("line_number").alias("k"), _us().alias("ts_us"), "level", "message", F.coalesce(meta, F.lit("")).alias("metadata"))
 
 
 _WORD, _T = "CASE level WHEN 5 THEN 'ERROR' WHEN 4 THEN 'WARN' ELSE 'INFO' END", "epoch_us(ts)"
 _CODE = "CASE level WHEN 5 THEN '500' WHEN 4 THEN '404' ELSE '200' END"
-_BSD = "epoch_us(CAST('1990' || strftime(ts, '-%m-%d %H:%M:%S') AS TIMESTAMP))"
+_BSD = "epoch_us(CAST('1992' || strftime(ts, '-%m-%d %H:%M:%S') AS TIMESTAMP))"
 _BACK = {
     "json": (_T, "message", "'customer=' || customer"), "logfmt": (_T, "message", "'customer=' || customer"), "csv": (_T, "message", "'customer=' || customer"),
     "syslog-rfc3164": (_BSD, "message", "'app=shop;hostname=host' || customer || ';pid=77'"), "syslog-rfc5424": (_T, "message", "'app=shop;hostname=host' || customer || ';pid=77'"),

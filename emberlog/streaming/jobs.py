@@ -12,9 +12,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import levels as L
 from ..functions.text import signature
 from ..operators.chains import BUILTIN, Chain, _fits
+from ..operators.parse import finished, parsed
 
 
 def lines(spark: SparkSession, folder: str, source: str = "stream", per_trigger: int = 16) -> DataFrame:
@@ -28,19 +28,7 @@ def entries(rows: DataFrame, fmt: str, ref_year: int) -> DataFrame:
     if fmt == "csv":
         raise ValueError("csv needs its header row, which a stream's micro-batches don't carry")
     ready = rows.withColumn("format", F.lit(fmt)).withColumn("line_number", F.lit(None).cast("long"))
-    return _parsed(ready, ref_year)
-
-
-def _parsed(rows: DataFrame, ref_year: int) -> DataFrame:
-    from ..operators import parse as P
-
-    p = {"json": P.json, "logfmt": P.logfmt, "clf": P.clf, "docker-json": P.docker_json, "docker-compose": P.docker_compose, "cloudwatch": P.cloudwatch, "kubernetes": P.kubernetes, "generic": P.generic, "syslog-rfc5424": P.syslog_5424, "syslog-rfc3164": lambda t: P.syslog_3164(t, ref_year), "raw": P.raw}
-    text, out = F.col("text"), P.raw(F.col("text"))
-    for name, f in p.items():
-        out = F.when(F.col("format") == name, f(text)).otherwise(out)
-    rows = rows.withColumn("__p", out).filter("__p IS NOT NULL")
-    level = F.when((F.col("__p.level") == 0) & (F.col("__p.message") != ""), L.infer(F.col("__p.message"))).otherwise(F.col("__p.level"))
-    return rows.select(F.col("__p.ts").alias("timestamp"), level.alias("level"), "source", F.col("__p.message").alias("message"), text.alias("raw_line"), "line_number", F.col("__p.metadata").alias("metadata"))
+    return finished(ready.withColumn("__p", parsed(F.col("text"), F.col("format"))), ref_year)
 
 
 def window_counts(df: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
