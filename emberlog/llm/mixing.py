@@ -128,7 +128,10 @@ def permuted(df: DataFrame, index: str, size: str, keys: list[str], rounds: int
 
 def block_times(goals: DataFrame, shard: int) -> DataFrame:
     """(key, block_no, times): how often each drawn block is taken."""
-    slots = draws(goals, shard).select("key", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("k"))
+    parts = int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a few small rows of draws become all slots: deal them out first, or they'd all be walked in one task
+    drawn = draws(goals, shard).repartition(parts, "key", "at")
+    slots = drawn.select("key", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("k"))
     slots = slots.join(goals.select("key", "blocks"), "key")
     slots = slots.select("key", "blocks", F.floor(F.col("k") / F.col("blocks")).alias("pass_no"), F.pmod("k", F.col("blocks")).alias("block_no"))
     return permuted(slots, "block_no", "blocks", ["key", "pass_no"]).groupBy("key", "block_no").agg(F.count("*").alias("times"))
