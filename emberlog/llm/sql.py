@@ -1 +1,26 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the training-data queries that SQL can express.
+
+The others train models, hash with functions that DuckDB lacks, or draw pseudorandom numbers; tests hold
+them against brute force, exact round trips or held-out accuracy.
+"""
+
+_WORD = r"[^\x20\x09-\x0D]"
+
+ORACLES: dict[str, str] = {
+    "op3_line_quality": rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+q AS (SELECT *, lead(a) OVER x AS b, lead(a, 2) OVER x AS c FROM p WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, a, b, c) > 1 AS twice FROM q),
+s AS (SELECT doc_id, twice OR coalesce(lag(twice) OVER x, false) OR coalesce(lag(twice, 2) OVER x, false) AS inside FROM r WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, count(*) FILTER (inside) AS n_repeat_words FROM s GROUP BY 1),
+l AS (SELECT doc_id, source, unnest(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(regexp_replace(lower(x), '\p{{Nd}}+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '')) AS line FROM d),
+f AS (SELECT source, line FROM l GROUP BY ALL HAVING count(DISTINCT doc_id) > 20),
+lost AS (SELECT l.doc_id, sum(len(string_split(l.line, ' '))) AS n FROM l JOIN f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source GROUP BY 1),
+b AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_lost_words
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
+e AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_lost_words <= 0.5 * n_words AS kept, n_lost_words FROM e""",
+}

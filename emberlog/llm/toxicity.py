@@ -244,11 +244,11 @@ def fit(rows: list[tuple[bytes, int]], p: Params = Params()) -> Model:
 
 
 def _threshold(logit: np.ndarray, y: np.ndarray) -> float:
-    """Between two neighbouring logits, where F1 is highest; in the middle of the best stretch."""
+    """Between two neighbouring logits, where F0.5, which minds clean documents more, is highest; amid the best stretch."""
     order = np.argsort(logit)
     x, t = logit[order], y[order]
     above = np.cumsum(t[::-1])[::-1]  # toxic at or above each cut
-    f1 = 2 * above / (np.arange(len(t), 0, -1) + t.sum())
+    f1 = 1.25 * above / (np.arange(len(t), 0, -1) + 0.25 * t.sum())
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     below = x[best[0] - 1] if best[0] else x[0] - 2
     return float((below + x[best[-1]]) / 2)
