@@ -91,7 +91,7 @@ def line_loss(docs: DataFrame, host: str = "source", max_docs: int = 20, salts:
     return lost.groupBy("doc_id", "text_hash", "host").agg(F.sum("n").alias("lost"))
 
 
-def judge(docs: DataFrame, host: str = "source", max_docs: int = 20, most_lost: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_docs: int = 20, most_lost: float = 0.5, salts: int = 32) -> DataFrame:
     """Figures and verdict of every row of ``docs``.
 
     ``base_failed``: under 50 words, or over half of them in repeated windows. ``kept``: not base_failed
@@ -99,7 +99,7 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = 20, most_lost:
     """
     own = docs.select(docs["doc_id"], docs["text"], docs[host].alias("source"))
     figures = own.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), *base_figures(own))
-    lost = line_loss(own, "source", max_docs).withColumnRenamed("source", "host").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("host").alias("s"), "lost")
+    lost = line_loss(own, "source", max_docs, salts).withColumnRenamed("source", "host").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("host").alias("s"), "lost")
     out = figures.join(lost, figures["doc_id"].eqNullSafe(lost["d"]) & (figures["text_hash"] == lost["h"]) & figures["source"].eqNullSafe(lost["s"]), "left")
     n, rep = F.col("__w.n_words"), F.col("__w.n_repeat_words")
     failed = (n < 50) | (100 * rep > 50 * n)

@@ -9,8 +9,8 @@ rules. Classes count alike, and blocking needs odds of ``odds`` to one.
 Counting is partial in each task and its keys are bounded by the lexicon; only that bounded table reaches
 the driver. Judging streams over the urls without a shuffle.
 
-Defined results: null urls and urls without ``://`` have empty host and path; with no token, or no
-trained class, the verdict is allow; rule texts that are equally long cannot both fit one url unless equal.
+Defined results: null urls and urls without ``://`` have empty host and path; with no token, or none that
+was seen in training or is listed, the verdict is allow; rule texts that are equally long cannot both fit one url unless equal.
 """
 
 from __future__ import annotations
@@ -123,17 +123,15 @@ class Segmenter:
 
 
 class Bayes:
-    def __init__(self, counts: dict[str, dict[str, int]], seed: float = 50.0, times: float = 20.0):
-        """Each word of BAD starts the class block with ``seed`` counts and ``times`` those it has in allow."""
-        self.ready = all(counts.get(v) for v in ("allow", "block"))
+    def __init__(self, counts: dict[str, dict[str, int]], times: float = 20.0):
+        """A word of BAD speaks for block with odds of at least ``times`` to one, whatever the rules let pass."""
         own = {v: Counter(counts.get(v, {})) for v in ("allow", "block")}
-        for w in BAD:
-            for token in (f"h:{w}", f"p:{w}"):
-                own["block"][token] += seed + times * own["allow"][token]
-        kinds = len(set(own["allow"]) | set(own["block"])) + 1
+        kinds = len({*own["allow"], *own["block"]}) + 1
         size = {v: sum(c.values()) + kinds for v, c in own.items()}
-        self.unseen = math.log(size["allow"] / size["block"])
         self.odds = {t: math.log((own["block"][t] + 1) / size["block"]) - math.log((own["allow"][t] + 1) / size["allow"]) for t in {*own["allow"], *own["block"]}}
+        for w in BAD:
+            for token in (f"h:{w}", f"p:{w}"):
+                self.odds[token] = max(self.odds.get(token, 0.0), math.log(times))
 
     def log_odds(self, tokens: list[str]) -> float:
         """Of block against allow."""

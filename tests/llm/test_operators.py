@@ -274,7 +274,7 @@ def test_dense_bucket_links_join_what_pairs_would():
     rng = np.random.default_rng(4)
     for trial in range(20):
         centres = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
-        fps = np.unique(np.array([c ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 5)))) for c in centres for _ in range(60)], dtype=np.uint64))
+        fps = np.unique(np.array([c ^ np.uint64(sum(1 << int(b) for b in {*rng.integers(0, 64, rng.integers(0, 5)).tolist()})) for c in centres for _ in range(60)], dtype=np.uint64))
         root = {int(f): int(f) for f in fps}
 
         def find(x, root=root):
