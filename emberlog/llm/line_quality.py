@@ -75,20 +75,25 @@ def _keys(docs: DataFrame, host: str) -> Column:
     return F.transform(normal_lines(docs["text"]), lambda x: F.xxhash64(own, docs[host].isNull(), x))
 
 
+def _row_key(docs: DataFrame, host: str) -> Column:
+    """Names a row by all that its figures depend on."""
+    return F.xxhash64("doc_id", docs["doc_id"].isNull(), "text", docs["text"].isNull(), F.coalesce(docs[host], F.lit("")), docs[host].isNull())
+
+
 def line_loss(docs: DataFrame, host: str = "source", max_docs: int = 20, salts: int = 32) -> DataFrame:
-    """(doc_id, text_hash, lost): words of each document's lines that the frequency limit removes.
+    """(row_key, lost): words of a row's lines that the frequency limit removes, for rows that lose any.
 
-    Only documents that lose something have a row. A document is known by doc_id and text hash, so
-    that rows that share a doc_id keep their own figures.
+    A line's words go through one shuffle, salted by row, and only those of frequent lines go on. The merge
+    join is asked for at every size: the frequent lines have no bound that would allow a broadcast.
     """
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
     common = frequent_lines(docs, host, max_docs).select("line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     counted = F.transform(normal_lines(docs["text"]), lambda x: F.size(F.split(x, " ")))
     pairs = F.arrays_zip(_keys(docs, host).alias("line"), counted.alias("n"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(pairs).alias("x"), docs[host].alias("host"))
-    rows = rows.groupBy("doc_id", "text_hash", "host", F.col("x.line").alias("line")).agg(F.sum("x.n").alias("n")).withColumn("salt", salt)
-    lost = rows.join(common, ["line", "salt"], "left_semi")
-    return lost.groupBy("doc_id", "text_hash", "host").agg(F.sum("n").alias("lost"))
+    rows = docs.select(_row_key(docs, host).alias("row_key"), F.monotonically_increasing_id().alias("copy"), pairs.alias("lines"))
+    rows = rows.select("row_key", "copy", F.explode("lines").alias("x")).select("row_key", "copy", F.col("x.line").alias("line"), F.col("x.n").alias("n"), F.pmod("row_key", F.lit(salts)).cast("int").alias("salt"))
+    lost = rows.join(common.hint("merge"), ["line", "salt"], "left_semi")
+    # rows that are alike in everything lose the same: their sums are equal, and one is taken
+    return lost.groupBy("row_key", "copy").agg(F.sum("n").alias("n")).groupBy("row_key").agg(F.max("n").alias("lost"))
 
 
 def judge(docs: DataFrame, host: str = "source", max_docs: int = 20, most_lost: float = 0.5, salts: int = 32) -> DataFrame:
@@ -98,9 +103,8 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = 20, most_lost:
     and no more than ``most_lost`` of the words removed by the line limit.
     """
     own = docs.select(docs["doc_id"], docs["text"], docs[host].alias("source"))
-    figures = own.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), *base_figures(own))
-    lost = line_loss(own, "source", max_docs, salts).withColumnRenamed("source", "host").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("host").alias("s"), "lost")
-    out = figures.join(lost, figures["doc_id"].eqNullSafe(lost["d"]) & (figures["text_hash"] == lost["h"]) & figures["source"].eqNullSafe(lost["s"]), "left")
+    figures = own.select("doc_id", _row_key(own, "source").alias("row_key"), *base_figures(own))
+    out = figures.join(line_loss(own, "source", max_docs, salts), "row_key", "left")
     n, rep = F.col("__w.n_words"), F.col("__w.n_repeat_words")
     failed = (n < 50) | (100 * rep > 50 * n)
     lost_n = F.coalesce(F.col("lost"), F.lit(0)).cast("long")
