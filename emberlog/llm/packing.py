@@ -94,6 +94,7 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
                     proj[k] = signs[ids].sum(axis=0) / np.sqrt(len(ids))
             cols = [b.column(0), pa.array(raw, pa.binary()), pa.array(n, pa.int64()), *(pa.array(proj[:, j].astype(np.float64)) for j in range(DIMS))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n", *(f"p{j}" for j in range(DIMS))])
+        enc.forget()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     return rows.mapInArrow(run, "doc_id long, ids binary, n long, " + ", ".join(f"p{j} double" for j in range(DIMS)))

@@ -38,7 +38,7 @@ def _alphabet() -> dict[str, int]:
 class Encoder:
     """``encode_all(texts)`` gives an array of ids for each; unsigned, of 16 bits if the vocabulary allows it."""
 
-    def __init__(self, path: str, cached: int = 600_000):
+    def __init__(self, path: str, cached: int = 250_000):
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -55,9 +55,10 @@ class Encoder:
             ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
             self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.newline = self.core.encode_ordinary("\n")[0]
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Empty the cache, as at the end of a task: idle workers should hold no memory."""
         self.number: dict[str, int] = {}
         self.flat, self.start, self.length = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -88,7 +89,7 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         words, bounds = coded.dictionary.to_pylist(), lists.offsets.to_numpy()
         if len(self.number) > self.cached:
-            self._forget()
+            self.forget()
         self._learn([w for w in words if w not in self.number])
         places = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
         at = places[coded.indices.to_numpy()]

@@ -41,7 +41,7 @@ LANGS = [*FUNCTION_WORDS]
 class Params:
     """``per_class`` bounds the labelled rows of each class that are fitted."""
 
-    per_class: tuple[int, int] = (6000, 3000)  # not toxic, toxic
+    per_class: tuple[int, int] = (5000, 2500)  # not toxic, toxic
     buckets: int = 1 << 15
     dims: int = 8
     filters: int = 8
@@ -50,7 +50,7 @@ class Params:
     batch: int = 64
     rate: float = 0.08
     seed: int = 11
-    cached_words: int = 200_000
+    cached_words: int = 120_000
 
 
 @dataclass
@@ -121,8 +121,20 @@ def _guess(codes: np.ndarray, starts, ends) -> np.ndarray:
     return np.where(hits.max(axis=1) > 0, hits.argmax(axis=1), len(LANGS))
 
 
-def sample(docs: DataFrame, labels: DataFrame, p: Params, fit_rows=None) -> list[tuple[bytes, int]]:
-    """At most ``per_class`` labelled texts of each class, those with the smallest hash of doc_id."""
+def features(text, index: WordRows) -> tuple[np.ndarray, int]:
+    """(2, n) hash buckets of a text's words and stems, and the language its function words point to."""
+    at = np.fromiter(map(index.__getitem__, byte_words(text)), dtype=np.int64)
+    codes = np.array([*index.code, 0])[at] if len(at) else at
+    hits = np.bincount(codes[codes < len(LANGS)], minlength=1)
+    lang = int(hits.argmax()) if hits.any() else len(LANGS)
+    return np.stack([np.array([*x, 0], dtype=np.int32)[at] for x in (index.whole, index.stem)]), lang
+
+
+def sample(docs: DataFrame, labels: DataFrame, p: Params, fit_rows=None) -> list[tuple[np.ndarray, int, int]]:
+    """(features, language, label) of at most ``per_class`` labelled texts of each class, those with the smallest hash of doc_id.
+
+    Executors turn the texts into hash buckets; the driver gets eight bytes for each of their words.
+    """
     lab = labels.select("doc_id", "toxic").dropna()
     if fit_rows is not None:
         lab = lab.filter(fit_rows)
@@ -133,33 +145,49 @@ def sample(docs: DataFrame, labels: DataFrame, p: Params, fit_rows=None) -> list
         ids |= {r[0]: y for r in part.orderBy(key, "doc_id").limit(n).select("doc_id").collect()}
     if not ids:
         return []
-    rows = docs.filter(F.col("doc_id").isin([*ids])).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    got = rows.groupBy("doc_id").agg(F.max("text").alias("text"))
-    return [(r[1].encode(), ids[r[0]]) for r in got.orderBy(key, "doc_id").toLocalIterator()]
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        index = WordRows(p)
+        for b in batches:
+            got = []
+            for t in b.column(1).to_pylist():
+                if len(index) > 50_000:
+                    index = WordRows(p)
+                got.append(features(t, index))
+            cols = [b.column(0), pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([k for _, k in got], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "f", "lang"])
+
+    rows = docs.filter(docs["doc_id"].isin([*ids])).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("t"))
+    got = {}
+    for r in rows.mapInArrow(run, "doc_id long, f binary, lang int").toLocalIterator():
+        x = (bytes(r["f"]), r["lang"])
+        got[r["doc_id"]] = max(x, got.get(r["doc_id"], x))  # of rows that share a doc_id, the same one each time
+    rng = np.random.default_rng(p.seed)
+    order = rng.permutation(len(got))
+    every = sorted(got.items())
+    return [(np.frombuffer(f, np.int32).reshape(2, -1), lang, ids[d]) for d, (f, lang) in (every[k] for k in order)]
 
 
-def fit(rows: list[tuple[bytes, int]], p: Params = Params()) -> Model:
-    """Train on three quarters of ``rows``, calibrate thresholds on all."""
-    index = WordRows(p)
-    docs = [np.fromiter(map(index.__getitem__, byte_words(t)), dtype=np.int64) for t, _ in rows]
-    y = np.array([v for _, v in rows], dtype=np.float64)
+def fit(rows: list[tuple[np.ndarray, int, int]], p: Params = Params()) -> Model:
+    """Train on three quarters of ``rows``, calibrate thresholds on the rest."""
+    docs = [x for x, _, _ in rows]
+    y = np.array([v for _, _, v in rows], dtype=np.float64)
     taps_n = sum(p.widths) * p.filters
     if not len(y) or y.min() == y.max():
         return Model(p, np.zeros((2 * p.buckets, taps_n), np.float32), np.zeros(len(p.widths) * p.filters), np.zeros(len(p.widths) * p.filters), -9.0, np.zeros(len(LANGS) + 1), True)
-    pad = len(index.whole)
-    whole, stem = (np.array([*x, 0], dtype=np.int64) for x in (index.whole, index.stem))
-    codes = np.array([*index.code, len(LANGS)], dtype=np.int64)
+    pad = 2 * p.buckets  # the row of the padding stays zero
     rng = np.random.default_rng(p.seed)
     train = rng.permutation(len(docs))[: max(2, len(docs) * 3 // 4)]
 
     # Start: the first dimension of a bucket is the log-ratio of its document frequencies in both classes.
-    emb = rng.normal(0, 0.05, (2 * p.buckets, p.dims))
+    emb = rng.normal(0, 0.05, (2 * p.buckets + 1, p.dims))
+    emb[pad] = 0
     df = np.ones((2, 2 * p.buckets)) * 0.5
     for i in train:
-        u = np.unique(docs[i])
-        np.add.at(df[int(y[i])], np.unique(np.concatenate([whole[u], stem[u]])), 1)
+        df[int(y[i]), np.unique(docs[i])] += 1
     n0, n1 = (y[train] == 0).sum(), (y[train] == 1).sum()
-    emb[:, 0] = np.clip(np.log(df[1] / (n1 + 1)) - np.log(df[0] / (n0 + 1)), -3, 3)
+    emb[:pad, 0] = np.clip(np.log(df[1] / (n1 + 1)) - np.log(df[0] / (n0 + 1)), -3, 3)
     kernel = {w: rng.normal(0, 0.1, (w, p.dims, p.filters)) for w in p.widths}
     for w in p.widths:
         kernel[w][:, 0, :] += 0.6 / w
@@ -169,7 +197,7 @@ def fit(rows: list[tuple[bytes, int]], p: Params = Params()) -> Model:
     weight = np.where(y == 1, 0.5 * len(train) / n1, 0.5 * len(train) / n0)
 
     def table() -> np.ndarray:
-        return np.concatenate([emb @ kernel[w][j] for w in p.widths for j in range(w)], axis=1).astype(np.float32)
+        return np.concatenate([emb[:pad] @ kernel[w][j] for w in p.widths for j in range(w)], axis=1).astype(np.float32)
 
     def step(name, value, grad):
         sq[name] += grad * grad
@@ -180,9 +208,9 @@ def fit(rows: list[tuple[bytes, int]], p: Params = Params()) -> Model:
         order = rng.permutation(train)
         for at in range(0, len(order), p.batch):
             own = order[at : at + p.batch]
-            flat, starts, ends = _layout([docs[i] for i in own], pad, before)
-            vec = emb[whole[flat]] + emb[stem[flat]]
-            vec[flat == pad] = 0
+            flat, starts, ends = _layout([docs[i][0] for i in own], pad, before)
+            stems, _, _ = _layout([docs[i][1] for i in own], pad, before)
+            vec = emb[flat] + emb[stems]
             pooled, arg, col = np.zeros((len(own), size)), np.zeros((len(own), size), dtype=np.int64), 0
             for w in p.widths:
                 conv = vec @ kernel[w][w - 1]
@@ -220,8 +248,8 @@ def fit(rows: list[tuple[bytes, int]], p: Params = Params()) -> Model:
             for w in p.widths:
                 step(w, kernel[w], g_kernel[w])
             hit = np.flatnonzero(g_emb.any(axis=1) & (flat != pad))
-            for rows_of in (whole, stem):
-                at_rows, inv = np.unique(rows_of[flat[hit]], return_inverse=True)
+            for rows_of in (flat, stems):
+                at_rows, inv = np.unique(rows_of[hit], return_inverse=True)
                 g_rows = np.zeros((len(at_rows), p.dims))
                 np.add.at(g_rows, inv, g_emb[hit])
                 sq["emb"][at_rows] += g_rows * g_rows
@@ -229,12 +257,8 @@ def fit(rows: list[tuple[bytes, int]], p: Params = Params()) -> Model:
     model = Model(p, table(), bias, out, out_bias, np.zeros(len(LANGS) + 1))
     held = np.setdiff1d(np.arange(len(docs)), train)
     cal = held if len(held) and 0 < y[held].sum() < len(held) else np.arange(len(docs))
-    logits, langs = [], []
-    for at in range(0, len(cal), 256):
-        a, b = _logits(model, [docs[i] for i in cal[at : at + 256]], whole, stem, codes, pad)
-        logits.append(a)
-        langs.append(b)
-    logits, langs = np.concatenate(logits), np.concatenate(langs)
+    langs = np.array([rows[i][1] for i in cal])
+    logits = np.concatenate([_logits(model, [docs[i] for i in cal[at : at + 64]]) for at in range(0, len(cal), 64)])
     everywhere = _threshold(logits, y[cal])
     for k in range(len(LANGS) + 1):
         own = langs == k
@@ -254,12 +278,13 @@ def _threshold(logit: np.ndarray, y: np.ndarray) -> float:
     return float((below + x[best[-1]]) / 2)
 
 
-def _logits(m: Model, docs, whole, stem, codes, pad):
-    p = m.params
-    flat, starts, ends = _layout(docs, pad, max(p.widths) - 1)
-    taps = m.taps[whole[flat]] + m.taps[stem[flat]]
-    taps[flat == pad] = 0
-    return _pooled(taps, m.bias, starts, ends, p) @ m.out + m.out_bias, _guess(codes[flat], starts, ends)
+def _logits(m: Model, docs: list[np.ndarray]) -> np.ndarray:
+    p, pad = m.params, 2 * m.params.buckets
+    flat, starts, ends = _layout([x[0] for x in docs], pad, max(p.widths) - 1)
+    stems, _, _ = _layout([x[1] for x in docs], pad, max(p.widths) - 1)
+    real = (flat < pad)[:, None]
+    taps = np.where(real, m.taps[np.minimum(flat, pad - 1)] + m.taps[np.minimum(stems, pad - 1)], 0)
+    return _pooled(taps, m.bias, starts, ends, p) @ m.out + m.out_bias
 
 
 def score_texts(model: Model, batches: Iterator[list]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
