@@ -150,7 +150,7 @@ def automaton(found: DataFrame, chains: list[Chain], key: list[str], cap: int) -
         ids = run_automaton(list(zip(rows, fits)), chains, cap)
         return pd.DataFrame([(*p, i) for p, i in zip(places, ids) if i], columns=[*key, "chain_id"])
 
-    return found.groupBy(F.lit(1)).applyInPandas(run, f"{fields}, chain_id string")
+    return found.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, f"{fields}, chain_id string")
 
 
 def with_chains(df: DataFrame, chains: list[Chain] | None = None, key: list[str] | None = None) -> DataFrame:

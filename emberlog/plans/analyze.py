@@ -79,6 +79,6 @@ def analyze(spark: SparkSession, sources: Iterable[str] = (), opts: Options | No
     sources = [*sources]
     raw = files.read(spark, sources, whole) if lines is None else lines
     entries = ingest(raw, opts.ref_year).cache()
-    survivors = filtered(entries, opts.filter, lines is None and sources in ([], ["-"]))
-    rich = enriched(survivors, opts)
+    survivors = filtered(entries, opts.filter, lines is None and sources in ([], ["-"])).cache()
+    rich = enriched(survivors, opts).cache()  # statistics and every section of the summary read these two
     return Result(entries, survivors, rich, filter_stats(entries, survivors, opts.filter), compact.summary(rich, opts.budget))
