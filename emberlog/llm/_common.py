@@ -53,14 +53,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     It is set here only where it is unset and the session is local (tests); a cluster without it is an error.
     """
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    conf = context.getConf()
+    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_emberlog_dir", None)
     if not found:
         if not conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="emberlog-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
+        found = context._emberlog_dir = tempfile.mkdtemp(prefix="emberlog-")
+    return f"{found.rstrip('/')}/{context.applicationId}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
