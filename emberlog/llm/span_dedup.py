@@ -12,7 +12,7 @@ the join read that table. Counting is a partial aggregate, and the join's hot ke
 of all documents) are split by adaptive execution or salted by document.
 
 Defined results: null text stays null and has no sentences; rows that share a doc_id count as one
-document; a text with fewer sentences than a run loses nothing but nothing of it is found elsewhere either.
+document; a text with fewer sentences, or words, than a run loses nothing but nothing of it is found elsewhere either.
 """
 
 from __future__ import annotations
@@ -57,38 +57,50 @@ def sentences(text: str, long_chars: int = 80, cuts: dict | None = None) -> list
     return out
 
 
-def runs(text: str | None, run: int = 3, min_words: int = 8, cuts: dict | None = None) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Sentence ends, hash of the run that starts at each sentence (0: none counts there), and whether the same run came before."""
+def runs(text: str | None, run: int = 3, min_words: int = 8, cuts: dict | None = None) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sentence ends; first sentence, sentence past the last and hash of each run; whether the same run came before."""
+    none = np.zeros(0, np.int64)
     if not text:
-        return [], np.zeros(0, np.int64), np.zeros(0, bool)
+        return [], none, none, none, np.zeros(0, bool)
     ends = sentences(text, cuts=cuts)
     words = [text[a:b].lower().split() for a, b in zip([0, *ends], ends)]
     size = np.array([len(w) for w in words])
     n = len(ends) - run + 1
     if n <= 0:
-        return ends, np.zeros(0, np.int64), np.zeros(0, bool)
+        return ends, none, none, none, np.zeros(0, bool)
     own = np.array([xxhash.xxh64_intdigest(" ".join(w), 7) for w in words], dtype=np.uint64)
-    total = np.convolve(size, np.ones(run, np.int64), "valid")
-    hashed = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+    upto = np.concatenate([[0], np.cumsum(size)])
+    # a run takes at least ``run`` sentences, and further ones until it has min_words words
+    start = np.arange(n)
+    end = np.maximum(start + run, np.searchsorted(upto, upto[:n] + min_words))
+    start, end = start[end <= len(ends)], end[end <= len(ends)]
+    # where the words run out before the text's or a passage's end, the run is counted back from there
+    last = np.arange(run, len(ends) + 1)
+    last = last[upto[last] - upto[last - run] < min_words]
+    if last.size:
+        back = np.searchsorted(upto, upto[last] - min_words, "right") - 1
+        last, back = last[back >= 0], back[back >= 0]
+        pairs = np.unique(np.stack([np.concatenate([start, back]), np.concatenate([end, last])], 1), axis=0)
+        start, end = pairs[:, 0], pairs[:, 1]
+    hashed = np.full(len(start), 0x9E3779B97F4A7C15, np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(run):  # a polynomial of the sentence hashes, mixed after each
-            hashed = (hashed ^ own[j : j + n]) * np.uint64(0xD6E8FEB86659FD93)
-            hashed ^= hashed >> np.uint64(32)
+        for j in range(int((end - start).max(initial=0))):  # a polynomial of the sentence hashes, mixed after each
+            on = np.flatnonzero(start + j < end) if j >= run else slice(None)
+            mixed = (hashed[on] ^ own[start[on] + j]) * np.uint64(0xD6E8FEB86659FD93)
+            hashed[on] = mixed ^ (mixed >> np.uint64(32))
     got = hashed.view(np.int64)
-    got[total < min_words] = 0
     _, first = np.unique(got, return_index=True)
-    again = np.ones(n, bool)
+    again = np.ones(len(got), bool)
     again[first] = False
-    again[got == 0] = False
-    return ends, got, again
+    return ends, start, end, got, again
 
 
-def removed(ends: list[int], got: np.ndarray, again: np.ndarray, elsewhere: set[int], run: int = 3) -> np.ndarray:
+def removed(ends: list[int], start: np.ndarray, end: np.ndarray, got: np.ndarray, again: np.ndarray, elsewhere: set[int]) -> np.ndarray:
     """For each sentence, whether a repeated run that is not the first covers it."""
     gone = np.zeros(len(ends), bool)
     hit = again | (np.isin(got, np.fromiter(elsewhere, np.int64, len(elsewhere))) if elsewhere else False)
     for i in np.flatnonzero(hit):
-        gone[i : i + run] = True
+        gone[start[i] : end[i]] = True
     return gone
 
 
@@ -104,8 +116,8 @@ def repeated(docs: DataFrame, run: int = 3, min_words: int = 8, salts: int = 16)
         for b in batches:
             every = []
             for t in b.column(1).to_pylist():
-                _, got, again = runs(t, run, min_words, cuts)
-                every.append(got[~again & (got != 0)])
+                *_, got, again = runs(t, run, min_words, cuts)
+                every.append(got[~again])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(every, pa.list_(pa.int64()))], ["doc_id", "runs"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("t"))
@@ -132,8 +144,8 @@ def dedup(docs: DataFrame, run: int = 3, min_words: int = 8) -> DataFrame:
         for b in batches:
             texts, counts, gone_n = [], [], []
             for t, elsewhere in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ends, got, again = runs(t, run, min_words, cuts)
-                gone = removed(ends, got, again, set(elsewhere or ()), run)
+                ends, start, end, got, again = runs(t, run, min_words, cuts)
+                gone = removed(ends, start, end, got, again, set(elsewhere or ()))
                 counts.append(len(ends))
                 gone_n.append(int(gone.sum()))
                 texts.append("".join(t[x:y] for x, y, g in zip([0, *ends], ends, gone) if not g) if gone.any() else t)

@@ -393,6 +393,21 @@ def test_unaligned_passage_is_found(spark):
         assert left < 0.5 and len(got[k].split()) >= 80
 
 
+def test_passage_of_one_word_sentences_is_found(spark):
+    rng = random.Random(11)
+    shout = lambda n: " ".join(a + b + "!!" for a, b in zip(rng.choices(WORDS, k=n), rng.choices(WORDS, k=n)))
+    passage = shout(80)
+    rows = [(k, shout(20) + "\n" + passage + "\n" + shout(20), "en", "a", 0) for k in range(3)]
+    rows.append((3, "\n".join(passage.split()) + "\nlong last line of some words", "en", "a", 0))
+    got = {r["row"]["doc_id"]: r for r in span_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0]["text"] == rows[0][1]
+    assert [got[k]["n_removed"] for k in (0, 1, 2, 3)] == [0, 80, 80, 80]
+    # sentences of 5, 5, 1 and 1 words: the last is only reached by a run counted back from it
+    tail = "a b c d e. f g h i j. k. l."
+    out = span_dedup.dedup(spark.createDataFrame([(k, tail, "en", "a", 0) for k in (1, 2)], DOCS)).collect()
+    assert sorted((r["row"]["doc_id"], r["n_removed"]) for r in out) == [(1, 0), (2, 4)]
+
+
 # ---- 10
 
 
