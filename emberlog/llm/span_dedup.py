@@ -1,15 +1,16 @@
 """Substring dedup over sliding sentence spans.
 
-A sentence ends at . ! or ? before white space, or at a newline; a sentence of more than ``long_chars``
-characters is cut further after words whose own hash says so, which makes cuts follow the content: a
-passage pasted into other text is cut alike wherever it stands, after its first cut. Every run of
+A sentence ends at . ! or ? before white space, or at a newline; a sentence of ``gap`` words or more is cut
+further by winnowing, after the word of least hash of every ``gap`` in a row. Cuts follow the content: a
+passage pasted into other text is cut alike wherever it stands, but for less than ``gap`` words at either edge,
+and no two cuts are more than ``gap`` words apart. So any 50 words that two texts share hold a whole run. Every run of
 ``run`` consecutive sentences with at least ``min_words`` words is hashed. The hashes are joined over the
 whole corpus; the first document with a run (least doc_id) keeps it, and its first place there; sentences
 that any other occurrence covers are removed from their text, the rest of which stays as it is.
 
 Texts are cut once, and the hashes, an array for each row, are written to the shared folder; both sides of
 the join read that table. Counting is a partial aggregate, and the join's hot keys (a passage in a third
-of all documents) are split by adaptive execution or salted by document.
+of all documents) are joined by broadcast. Texts in which no run comes up again are only counted.
 
 Defined results: null text stays null and has no sentences; rows that share a doc_id count as one
 document; a text with fewer sentences, or words, than a run loses nothing but nothing of it is found elsewhere either.
@@ -17,6 +18,7 @@ document; a text with fewer sentences, or words, than a run loses nothing but no
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -29,32 +31,48 @@ from pyspark.sql import functions as F
 from ._common import small_batches, stored
 
 ENDS = regex.compile(r"[.!?]+\s+|\s*\n\s*")
-WORD = regex.compile(r"\S+\s*")
+WORD = re.compile(r"\S+\s*")
 
 
 class _Cut(dict):
-    """word -> whether a long sentence is cut after it (one word in eight)."""
+    """word -> its own hash, by which long sentences are cut."""
 
-    def __missing__(self, w: str) -> bool:
-        got = zlib.crc32(w.strip().encode()) % 8 == 0
+    def __missing__(self, w: str) -> int:
+        got = zlib.crc32(w.strip().lower().encode())
         if len(self) < 200_000:
             self[w] = got
         return got
 
 
-def sentences(text: str, long_chars: int = 80, cuts: dict | None = None) -> list[int]:
-    """End offsets of the sentences, which together make up the whole text."""
+def sentences(text: str, gap: int = 8, cuts: dict | None = None) -> list[int]:
+    """End offsets of the sentences, which together make up the whole text.
+
+    Inside a sentence a word ends a cut if it has the least hash, as the last one that has, of any ``gap`` words
+    in a row. So no stretch between cuts has more than ``gap`` words, and what stands ``gap`` or more words inside
+    a passage is cut alike in every text that holds it.
+    """
     cuts = _Cut() if cuts is None else cuts
-    out, at = [], 0
-    for end in [*(m.end() for m in ENDS.finditer(text)), len(text)]:
-        if end - at > long_chars:
-            for m in WORD.finditer(text, at, end):
-                if m.end() < end and cuts[m.group()]:
-                    out.append(m.end())
-        if end > at:
-            out.append(end)
-        at = end
-    return out
+    natural = [m.end() for m in ENDS.finditer(text)]
+    if not natural or natural[-1] < len(text):
+        natural.append(len(text))
+    words = WORD.findall(text)
+    if len(words) < gap:
+        return natural
+    at = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    at += len(text) - at[-1]  # white space before the first word
+    h = np.fromiter(map(cuts.__getitem__, words), np.int64, len(words))
+    sentence = np.searchsorted(natural, at)
+    n = len(h)
+    reach = np.ones(n, np.int64)
+    left, right = np.ones(n, bool), np.ones(n, bool)
+    for d in range(1, min(gap, n)):
+        same = sentence[d:] == sentence[:-d]
+        left[:d], right[n - d :] = False, False
+        left[d:] &= same & (h[:-d] >= h[d:])
+        right[:-d] &= same & (h[d:] > h[:-d])
+        reach += left
+        reach += right
+    return np.union1d(natural, at[reach >= gap]).tolist()
 
 
 def runs(text: str | None, run: int = 3, min_words: int = 8, cuts: dict | None = None) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,31 +122,34 @@ def removed(ends: list[int], start: np.ndarray, end: np.ndarray, got: np.ndarray
     return gone
 
 
-def repeated(docs: DataFrame, run: int = 3, min_words: int = 8, salts: int = 16) -> DataFrame:
-    """(doc_id, runs): hashes of the runs that an earlier document has, for documents with any.
+def repeated(docs: DataFrame, run: int = 3, min_words: int = 8, hot: int = 4096) -> DataFrame:
+    """(doc_id, runs): hashes of the runs that an earlier document has, for documents with any, or with a run twice.
 
-    Whether a run goes depends on the doc_id alone, so rows that share one need not be told apart.
+    Whether a run goes depends on the doc_id alone, so rows that share one need not be told apart. Runs of over
+    ``hot`` documents, at most one for each ``hot`` runs of the input, are broadcast, so that no task gathers one.
     """
     small_batches(docs.sparkSession)
 
     def cut(batches):
         cuts = _Cut()
         for b in batches:
-            every = []
+            every, twice = [], []
             for t in b.column(1).to_pylist():
                 *_, got, again = runs(t, run, min_words, cuts)
                 every.append(got[~again])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(every, pa.list_(pa.int64()))], ["doc_id", "runs"])
+                twice.append(bool(again.any()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(every, pa.list_(pa.int64())), pa.array(twice, pa.bool_())], ["doc_id", "runs", "twice"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("t"))
-    held = stored(rows.mapInArrow(cut, "doc_id long, runs array<bigint>"), "runs")
-    every = held.filter("doc_id IS NOT NULL").select("doc_id", F.explode("runs").alias("run"))
-    least = every.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    shared = least.filter("first < last").select("run", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
-    own = held.filter("doc_id IS NOT NULL").select("doc_id", salt, F.explode("runs").alias("run"))
-    later = own.join(shared, ["run", "salt"]).filter("doc_id > first")
-    return later.groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
+    held = stored(rows.mapInArrow(cut, "doc_id long, runs array<bigint>, twice boolean"), "runs").filter("doc_id IS NOT NULL")
+    every = held.select("doc_id", F.explode("runs").alias("run"))
+    least = every.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    shared = stored(least.filter("first < last").select("run", "first", "n"), "shared-runs")
+    often = F.broadcast(shared.filter(F.col("n") > hot).select("run", "first"))
+    rare = shared.filter(F.col("n") <= hot).select("run", "first")
+    later = every.join(often, "run").unionByName(every.join(often.select("run"), "run", "left_anti").join(rare, "run")).filter("doc_id > first")
+    marked = later.select("doc_id", "run").union(held.filter("twice").select("doc_id", F.lit(None).cast("long")))
+    return marked.groupBy("doc_id").agg(F.collect_set("run").alias("runs"))
 
 
 def dedup(docs: DataFrame, run: int = 3, min_words: int = 8) -> DataFrame:
@@ -137,15 +158,22 @@ def dedup(docs: DataFrame, run: int = 3, min_words: int = 8) -> DataFrame:
     found = repeated(docs, run, min_words)
     found = found.select(F.col("doc_id").alias("__d"), F.col("runs").alias("__r"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("__doc"))
-    rows = rows.join(found, F.col("__doc") == F.col("__d"), "left").select("row", F.col("row.text").cast("string").alias("t"), "__r")
+    rows = rows.join(found, F.col("__doc") == F.col("__d"), "left")
+    sought = F.coalesce("__r", F.when(F.col("__doc").isNull(), F.array().cast("array<bigint>"))).alias("__r")
+    rows = rows.select("row", F.col("row.text").cast("string").alias("t"), sought)
 
     def cut(batches):
         cuts = _Cut()
         for b in batches:
             texts, counts, gone_n = [], [], []
             for t, elsewhere in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if elsewhere is None:  # no run of this document comes up elsewhere or again
+                    counts.append(len(sentences(t, cuts=cuts)) if t else 0)
+                    gone_n.append(0)
+                    texts.append(t)
+                    continue
                 ends, start, end, got, again = runs(t, run, min_words, cuts)
-                gone = removed(ends, start, end, got, again, set(elsewhere or ()))
+                gone = removed(ends, start, end, got, again, set(elsewhere))
                 counts.append(len(ends))
                 gone_n.append(int(gone.sum()))
                 texts.append("".join(t[x:y] for x, y, g in zip([0, *ends], ends, gone) if not g) if gone.any() else t)

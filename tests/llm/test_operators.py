@@ -393,6 +393,27 @@ def test_unaligned_passage_is_found(spark):
         assert left < 0.5 and len(got[k].split()) >= 80
 
 
+def test_any_50_shared_words_are_found():
+    rng = random.Random(12)
+    words = [a + b for a in WORDS for b in WORDS]
+    plain = lambda n: rng.choices(words, k=n)
+    stopped = lambda n: [w + rng.choice(["", "", "", "", "", "."]) for w in plain(n)]
+    shares = []
+    for trial in range(400):
+        take = (plain, stopped)[trial % 2]
+        passage, at = take(51), rng.randint(0, 60)
+        own, other = take(60), take(60)
+        first = span_dedup.runs(" ".join([*own[: 60 - at], *passage, *own[60 - at :]]))
+        text = " ".join([*other[:at], *passage, *other[at:]])
+        ends, start, end, got, again = span_dedup.runs(text)
+        gone = span_dedup.removed(ends, start, end, got, again, set(first[3].tolist()))
+        left = " ".join(text[a:b].strip() for a, b, g in zip([0, *ends], ends, gone) if not g).split()
+        assert left[:at] == other[:at] and left[len(left) - 60 + at :] == other[at:]
+        shares.append((111 - len(left)) / 51)
+    # less than 8 words stay at either edge, and up to a whole cut more
+    assert min(shares) > 0.35 and sum(shares) / len(shares) > 0.8
+
+
 def test_passage_of_one_word_sentences_is_found(spark):
     rng = random.Random(11)
     shout = lambda n: " ".join(a + b + "!!" for a, b in zip(rng.choices(WORDS, k=n), rng.choices(WORDS, k=n)))
