@@ -1,12 +1,14 @@
 """The corpus pipeline end to end on the smallest tables, and the SQL of the training-data queries."""
 
 import os
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from emberlog.llm import registry
+from emberlog.llm import near_dup, registry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -28,3 +30,49 @@ def test_sql(spark, name):
     names = [d[0] for d in got.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(str, got.fetchall())) == sorted(str(tuple(r)) for r in df.select(*names).collect())
+
+
+def _shingles(text):
+    w = text.split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def _alike(a, b):
+    a, b = _shingles(a), _shingles(b)
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("small", [32, 1])
+def test_near_duplicates_reach_similarity(spark, small):
+    rng = random.Random(21)
+    some = [f"w{k}" for k in range(5000)]
+    texts = []
+    for _ in range(40):
+        base = rng.choices(some, k=rng.randint(100, 400))
+        texts.append(base)
+        for _ in range(3):
+            near = list(base)
+            for k in rng.sample(range(len(near)), rng.randint(1, len(near) // 25)):
+                near[k] = rng.choice(some)
+            texts.append(near)
+    rows = [(k, " ".join(t), "en", "a", 0) for k, t in enumerate(texts)] + [(None, " ".join(texts[0]), "en", "a", 0), (900, "", "en", "a", 0), (901, None, "en", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, df, DATA) if small == 32 else near_dup.kept(df, small=small)
+    stay = {r["doc_id"] for r in out.collect()}
+    assert None in stay and 900 in stay and 901 not in stay
+    text = {r[0]: r[1] for r in rows if r[0] is not None and r[0] < 900}
+    if small == 1:  # the pass through one task links what no join has
+        named = near_dup.sketches(df.filter("doc_id < 900")).select("doc_id", "name")
+        led = near_dup._led(named.withColumn("key", F.lit(1)), near_dup.sets_of(df, named), 0.8).collect()
+        ids = {r["name"]: r["doc_id"] for r in named.collect()}
+        assert led and all(ids[r["a"]] < ids[r["b"]] and _alike(text[ids[r["a"]]], text[ids[r["b"]]]) >= 0.8 for r in led)
+        lone = sorted(set(text) - {ids[r["b"]] for r in led})
+        assert all(_alike(text[a], text[b]) < 0.8 for a in lone for b in lone if a < b and b - a < 4)
+    far = [(a, b) for g in range(40) for a in range(4 * g, 4 * g + 4) for b in range(a + 1, 4 * g + 4) if _alike(text[a], text[b]) < 0.8]
+    assert 20 < len(far) < 220
+    for g in range(40):  # no two that stay are alike, and what went is alike to something
+        own = range(4 * g, 4 * g + 4)
+        kept = [d for d in own if d in stay]
+        assert own[0] in kept
+        assert all(_alike(text[a], text[b]) < 0.8 for a in kept for b in kept if a < b)
+        assert all(any(_alike(text[d], text[o]) >= 0.8 for o in own if o != d) for d in own if d not in stay)
