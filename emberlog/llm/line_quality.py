@@ -109,3 +109,21 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = 20, most_lost:
     failed = (n < 50) | (100 * rep > 50 * n)
     lost_n = F.coalesce(F.col("lost"), F.lit(0)).cast("long")
     return out.select("doc_id", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", rep.alias("n_repeat_words"), failed.alias("base_failed"), (~failed & (lost_n <= most_lost * n)).alias("kept"), lost_n.alias("n_lost_words"))
+
+
+def cleaned(docs: DataFrame, host: str = "source", max_docs: int = 20, salts: int = 32) -> DataFrame:
+    """``docs`` without the lines above the limit; blank lines stay, and a text that loses nothing stays as it is."""
+    common = frequent_lines(docs, host, max_docs).select("line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = docs.select(_row_key(docs, host).alias("__key"), F.explode(F.array_distinct(_keys(docs, host))).alias("line"))
+    rows = rows.withColumn("salt", F.pmod("__key", F.lit(salts)).cast("int"))
+    lost = rows.join(common.hint("merge"), ["line", "salt"], "left_semi").groupBy("__key").agg(F.collect_set("line").alias("__lost"))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), _row_key(docs, host).alias("__own"))
+    both = own.join(lost, F.col("__own") == F.col("__key"), "left")
+    name = F.coalesce(F.col("__row")[host], F.lit(""))
+    normal = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"\p{Nd}+", "0"), SPACES, " "))
+    stays = lambda x: (normal(x) == "") | ~F.array_contains("__lost", F.xxhash64(name, F.col("__row")[host].isNull(), normal(x)))
+    text = F.col("__row")["text"]
+    text = F.when(F.col("__lost").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
+    both = both.withColumn("__text", text)
+    new = {"text": F.col("__text")} | ({"n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return both.select(*[new.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])

@@ -121,6 +121,23 @@ def test_line_quality(spark, docs):
 # ---- 4
 
 
+def test_frequent_lines_are_removed(spark):
+    rows = [(k, f"own line {'abcde'[k]} here\n\nCopyright  {k} all\n two {'vwxyz'[k]}", "en", ("a", "b")[k > 3], 0) for k in range(5)]
+    rows += [(10, None, "en", "a", 0), (11, "copyright 7 ALL", None, None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = line_quality.cleaned(df, max_docs=3)
+    assert out.columns == df.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for d, t, *_ in rows:
+        want = "\n".join(x for x in t.split("\n") if "Copyright" not in x) if d < 4 else t
+        assert got[d]["text"] == want and got[d]["n_chars"] == (None if t is None else len(want))
+    lost = {r["doc_id"]: r["n_lost_words"] for r in line_quality.judge(df, max_docs=3).collect()}
+    for d, t, *_ in rows:
+        assert lost[d] == len((t or "").split()) - len((got[d]["text"] or "").split())
+
+
+
 def test_encoder_is_the_library():
     enc = Encoder(registry.TOKENIZER)
     rng = random.Random(3)
