@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import io
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +22,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 #: Rows and bytes of one Arrow batch handed to Python, so that very long texts cannot pile up in a worker.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,3 +110,53 @@ def byte_words(text: str | bytes | None) -> list[bytes]:
     if not text:
         return []
     return (text if isinstance(text, bytes) else text.encode()).lower().split()
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_slices(text: str | bytes | None, size: int = 1 << 18) -> Iterator[list[bytes]]:
+    """``byte_words`` in lists of about ``size`` bytes each, so that no very long text becomes one list."""
+    data = text.encode() if isinstance(text, str) else text or b""
+    at = 0
+    while at < len(data):
+        cut = _SPACE.search(data, at + size) if at + size < len(data) else None
+        end = cut.start() if cut else len(data)
+        yield data[at:end].lower().split()
+        at = end
+
+
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # not glibc: nothing to tune
+        return None
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks and idle beside later ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
+def lean(run):
+    """``run`` (a function from batches to batches) as a task that holds little and leaves nothing behind.
+
+    Large blocks come from the system one by one and go back when they are freed; at the end of the task
+    what the allocators still hold goes back too.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        if (libc := _libc()) is not None:
+            libc.mallopt(-3, 256 << 10)  # M_MMAP_THRESHOLD: set, it no longer grows with what is freed
+            libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
