@@ -21,11 +21,8 @@ SPELLINGS = {
 
 def rank(text: Column) -> Column:
     """The rank that a level's spelling names; 0 for null and anything else."""
-    word = F.upper(F.trim(text))
-    out = F.lit(UNKNOWN)
-    for level, spellings in SPELLINGS.items():
-        out = F.when(word.isin(spellings), level).otherwise(out)
-    return out.cast("int")
+    named = F.create_map(*(F.lit(x) for level, spellings in SPELLINGS.items() for word in spellings for x in (word, level)))
+    return F.coalesce(F.try_element_at(named, F.upper(F.trim(text))), F.lit(UNKNOWN)).cast("int")
 
 
 def name(level: Column) -> Column:
@@ -46,7 +43,7 @@ def infer(message: Column) -> Column:
 
     Words that are only digits name no level here but count among the five.
     """
-    heads = F.slice(F.filter(F.split(F.coalesce(message, F.lit("")), " +"), lambda w: w != ""), 1, 5)
-    bare = F.transform(heads, lambda w: F.regexp_replace(w, r"^[\[\]():=-]+|[\[\]():=-]+$", ""))
-    ranks = F.transform(bare, lambda w: F.when(w.rlike(r"^[0-9]*$"), UNKNOWN).otherwise(rank(w)))
+    heads = F.slice(F.filter(F.split(F.coalesce(message, F.lit("")), " +", 7), lambda w: w != ""), 1, 5)
+    bare = F.transform(heads, lambda w: F.btrim(w, F.lit("[]():=-")))
+    ranks = F.transform(bare, lambda w: F.when(F.translate(w, "0123456789", "") == "", UNKNOWN).otherwise(rank(w)))
     return F.coalesce(F.get(F.filter(ranks, lambda r: r > 0), F.lit(0)), F.lit(UNKNOWN))

@@ -5,37 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: (what the text must look like, how to read it); a comma before the fraction is read as a dot.
-_ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?"
-_SPACED = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}([.,]\d+)?$"
-_CLF = r"^\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}$"
-_KIBANA = r"^[A-Z][a-z]{2} \d{1,2}, \d{4} @ \d{2}:\d{2}:\d{2}\.\d{3}$"
-_BSD = r"^[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}$"
-#: What may stand before a message: the spaced and the T form, with fraction and zone as far as they go.
-PREFIX = r"^(\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:\d{2})?| \d{2}:\d{2}:\d{2}(?:[.,]\d+)?))"
-
-
-def _micros(text: Column) -> Column:
-    """Digits past microseconds cut off."""
-    return F.regexp_replace(text, r"([.,]\d{6})\d+", "$1")
+from .text import let
+
+# Layouts, stated as what a text must look like. Seconds may have a fraction, after a dot or a comma.
+_FRACTION = r"([.,]\d+)?"
+_ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}" + _FRACTION + r"(Z|[+-]\d{2}:\d{2})?$"
+_SPACED = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}" + _FRACTION + "$"
+_CLF = r"^\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}" + _FRACTION + r" [+-]\d{4}$"
+_KIBANA = r"^[A-Z][a-z]{2} \d{1,2}, \d{4} @ \d{2}:\d{2}:\d{2}[.,]\d{3}$"
+_BSD = r"^[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}" + _FRACTION + "$"
+#: What may stand before a message: layouts that begin with a digit, as far as they go, and epochs padded to 15 characters.
+PREFIX = (
+    r"^(\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:\d{2})?| \d{2}:\d{2}:\d{2}(?:[.,]\d+)?)"
+    r"|\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2}(?:[.,]\d+)? [+-]\d{4}|\d{10} {5}|\d{11} {4}|\d{12} {3}|\d{13} {2}|\d{14} |\d{15}(?!\d))"
+)
 
 
 def parse(text: Column, ref_year: int | None = None) -> Column:
     """The timestamp that the whole text is: ISO with or without zone, spaced, CLF, Kibana, BSD (with ``ref_year``), epoch.
 
-    Epochs: above 10^15 nothing, above 10^12 milliseconds, above 10^9 seconds, else nothing.
+    Digits past microseconds are cut off. Epochs: above 10^15 nothing, above 10^12 milliseconds, above 10^9
+    seconds, else nothing.
     """
-    s = F.trim(text)
-    whole = _micros(s)
-    number = F.try_to_number(F.when(s.rlike(r"^\d{10,16}$"), s), F.lit("9" * 16)).cast("long")
-    epoch = F.when(number > 10**15, F.lit(None).cast("timestamp")).when(number > 10**12, F.timestamp_millis(number)).when(number > 10**9, F.timestamp_seconds(number))
-    out = F.when(s.rlike(_ISO + r"(Z|[+-]\d{2}:\d{2})?$"), whole.try_cast("timestamp"))
-    out = out.when(s.rlike(_SPACED), F.regexp_replace(whole, ",", ".").try_cast("timestamp"))
-    out = out.when(s.rlike(_CLF), F.try_to_timestamp(s, F.lit("dd/MMM/yyyy:HH:mm:ss Z")))
-    out = out.when(s.rlike(_KIBANA), F.try_to_timestamp(s, F.lit("MMM d, yyyy '@' HH:mm:ss.SSS")))
-    if ref_year is not None:
-        out = out.when(s.rlike(_BSD), F.try_to_timestamp(F.concat(F.lit(f"{ref_year} "), F.regexp_replace(s, " +", " ")), F.lit("yyyy MMM d HH:mm:ss")))
-    return out.otherwise(epoch)
+    def read(s: Column) -> Column:
+        whole = F.regexp_replace(F.regexp_replace(s, r"(:\d{2}),(\d)", "$1.$2"), r"(:\d{2}\.\d{6})\d+", "$1")
+        number = F.try_to_number(F.when(s.rlike(r"^\d{10,16}$"), s), F.lit("9" * 16)).cast("long")
+        epoch = F.when(number > 10**15, F.lit(None).cast("timestamp")).when(number > 10**12, F.timestamp_millis(number)).when(number > 10**9, F.timestamp_seconds(number))
+        out = F.when(s.rlike(_ISO) | s.rlike(_SPACED), whole.try_cast("timestamp"))
+        out = out.when(s.rlike(_CLF), F.try_to_timestamp(whole, F.lit("dd/MMM/yyyy:HH:mm:ss[.SSSSSS] Z")))
+        out = out.when(s.rlike(_KIBANA), F.try_to_timestamp(whole, F.lit("MMM d, yyyy '@' HH:mm:ss.SSS")))
+        if ref_year is not None:
+            out = out.when(s.rlike(_BSD), F.try_to_timestamp(F.concat(F.lit(f"{ref_year} "), F.regexp_replace(whole, " +", " ")), F.lit("yyyy MMM d HH:mm:ss[.SSSSSS]")))
+        return out.otherwise(epoch)
+
+    return let(F.trim(text), read)
 
 
 def prefix(text: Column) -> Column:

@@ -11,13 +11,21 @@ from ..functions.text import let
 FORMATS = ["json", "docker-json", "cloudwatch", "kubernetes", "syslog-rfc5424", "syslog-rfc3164", "clf", "csv", "logfmt", "docker-compose", "generic", "raw"]
 
 
+def _one_object(text: Column) -> Column:
+    """Whether the first brace closes with the last: strings and all but braces left out, what stands inside cancels out."""
+    braces = F.regexp_replace(F.regexp_replace(text, r'(?s)"(?:[^"\\]|\\.)*"', ""), r"[^{}]+", "")
+    inside = let(F.substr(braces, F.lit(2), F.length(braces) - 2), lambda x: F.aggregate(F.sequence(F.lit(0), F.length(x)), x, lambda left, _: F.replace(left, F.lit("{}"))))
+    # most lines have one brace of each kind, or none inside strings
+    return (F.length(text) - F.length(F.replace(text, F.lit("{"))) == 1) & (F.length(text) - F.length(F.replace(text, F.lit("}"))) == 1) | (inside == "")
+
+
 def json_map(text: Column) -> Column:
     """Keys and values (as text) of a JSON object; null for all else.
 
-    Spark's reader is lenient; braces at both ends and double quotes are asked for here.
+    Spark's reader is lenient; one object from the first brace to the last and double quotes are asked for here.
     """
-    strict = text.rlike(r"(?s)^\s*\{.*\}\s*$")
-    return F.when(strict, F.from_json(text, "map<string,string>", {"allowSingleQuotes": "false"}))
+    strict = text.rlike(r"(?s)^\s*\{.*\}\s*$") & _one_object(text)
+    return F.when(strict, F.from_json(text, "map<string,string>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}))
 
 
 def csv_fields(text: Column) -> Column:
@@ -26,7 +34,7 @@ def csv_fields(text: Column) -> Column:
 
     def bare(x):
         q = F.regexp_extract(x, r'(?s)^[ \t]*"((?:[^"]|"")*)"', 1)
-        return F.when(x.rlike(r'(?s)^[ \t]*"(?:[^"]|"")*"'), F.regexp_replace(q, '""', '"')).otherwise(x)
+        return F.when(x.contains('"') & x.rlike(r'(?s)^[ \t]*"(?:[^"]|"")*"'), F.replace(q, F.lit('""'), F.lit('"'))).otherwise(x)
 
     return F.transform(raw, bare)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import levels as L
 from ..functions import patterns as P
+from ..functions.text import let
 
 
 @dataclass(frozen=True)
@@ -51,8 +52,7 @@ def noise_filter(extra: list[str] | None = None, builtin: bool = True) -> RowFil
     found = [p.lower() for p in [*(P.NOISE if builtin else []), *(extra or [])]]
 
     def keep(df):
-        message = F.lower(F.coalesce(df["message"], F.lit("")))
-        return ~reduce(lambda a, b: a | b, (message.contains(p) for p in found), F.lit(False))
+        return ~let(F.lower(F.coalesce(df["message"], F.lit(""))), lambda m: reduce(lambda a, b: a | b, (m.contains(p) for p in found), F.lit(False)))
 
     return RowFilter("noise", keep)
 

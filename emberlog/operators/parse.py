@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import levels as L
 from ..functions import patterns as P
 from ..functions import timestamps as T
-from ..functions.text import let
+from ..functions.text import groups, let, once
 from .detect import csv_fields, is_csv_header, json_map
 
 #: What a parser finds: the time's text, the level as a word or rank, and whether a time is a must.
@@ -63,45 +63,52 @@ def json(text: Column) -> Column:
 def logfmt(text: Column) -> Column:
     """key=value pairs; quoted values with backslash escapes; reading stops at the first thing that is no pair."""
     pair = r'(?s)\G[ \t]*([^= \t][^=]*)=("(?:\\.|[^"\\])*(?:"|\\?\z)|[^ \t"][^ \t]*|)'
-    keys, values = (F.regexp_extract_all(text, F.lit(pair), F.lit(g)) for g in (1, 2))
 
     def bare(v):
         quoted = F.regexp_replace(F.regexp_replace(v, r'(?s)^"(.*?)"?\z', "$1"), r"(?s)\\(.?)", "$1")
         return F.when(v.startswith('"'), quoted).otherwise(v)
 
-    m = _last_wins(F.transform(keys, F.trim), F.transform(values, bare))
-    return let(F.when(F.size(keys) > 0, m), _from_map)
+    def entry(found):  # a key has no "=", so the first one ends it
+        keys = F.transform(found, lambda x: F.trim(F.regexp_replace(F.substring_index(x, "=", 1), r"^[ \t]+", "")))
+        values = F.transform(found, lambda x: bare(F.substr(x, F.instr(x, "=") + 1)))
+        return let(_last_wins(keys, values), _from_map)
+
+    return let(F.regexp_extract_all(text, F.lit(pair), F.lit(0)), lambda found: F.when(F.size(found) > 0, entry(found)))
 
 
 def _last_wins(keys: Column, values: Column) -> Column:
     """A map whose repeated keys keep the last value, whatever the session's policy for them."""
     def unique(both):
         last = F.filter(both, lambda x, i: ~F.exists(F.slice(both, i + 2, F.size(both)), lambda y: y["k"] == x["k"]))
-        return F.map_from_entries(last)
+        return F.map_from_entries(F.when(F.size(F.array_distinct(both["k"])) == F.size(both), both).otherwise(last))
 
     return let(F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v"))), unique)
 
 
 def syslog_3164(text: Column) -> Column:
-    g = lambda k: F.regexp_extract(text, P.SYSLOG_3164_FULL, k)
-    level = L.severity(F.pmod(g(1).try_cast("int"), F.lit(8)))
-    return F.when(text.rlike(P.SYSLOG_3164_FULL), _entry(F.concat_ws(" ", g(2), g(3), g(4)), F.lit(None), level, g(8), _pairs(hostname=g(5), app=g(6), pid=g(7))))
+    def entry(g):
+        level = L.severity(F.pmod(g(1).try_cast("int"), F.lit(8)))
+        return _entry(F.concat_ws(" ", g(2), g(3), g(4)), F.lit(None), level, g(8), _pairs(hostname=g(5), app=g(6), pid=g(7)))
+
+    return groups(text, P.SYSLOG_3164_FULL, 8, entry)
 
 
 def syslog_5424(text: Column) -> Column:
-    g = lambda k: F.regexp_extract(text, P.SYSLOG_5424_FULL, k)
-    pid = F.when(g(6) != "-", g(6)).otherwise("")
-    level = L.severity(F.pmod(g(1).try_cast("int"), F.lit(8)))
-    message = F.regexp_replace(g(8), P.SYSLOG_5424_DATA, "")
-    return F.when(text.rlike(P.SYSLOG_5424_FULL), _entry(g(3), F.lit(None), level, message, _pairs(hostname=g(4), app=g(5), pid=pid)))
+    def entry(g):
+        pid = F.when(g(6) != "-", g(6)).otherwise("")
+        level = L.severity(F.pmod(g(1).try_cast("int"), F.lit(8)))
+        return _entry(g(3), F.lit(None), level, F.regexp_replace(g(8), P.SYSLOG_5424_DATA, ""), _pairs(hostname=g(4), app=g(5), pid=pid))
+
+    return groups(text, P.SYSLOG_5424_FULL, 8, entry)
 
 
 def clf(text: Column) -> Column:
-    g = lambda k: F.regexp_extract(text, P.CLF_FULL, k)
-    status = g(6).try_cast("int")
-    level = F.when(status >= 500, L.ERROR).when(status >= 400, L.WARN).otherwise(L.INFO)
-    meta = _pairs(host=g(1), request=g(5), status=g(6), size=g(7))
-    return F.when(text.rlike(P.CLF_FULL), _entry(g(4), F.lit(None), level, F.concat_ws(" ", g(5), g(6)), meta))
+    def entry(g):
+        status = g(6).try_cast("int")
+        level = F.when(status >= 500, L.ERROR).when(status >= 400, L.WARN).otherwise(L.INFO)
+        return _entry(g(4), F.lit(None), level, F.concat_ws(" ", g(5), g(6)), _pairs(host=g(1), request=g(5), status=g(6), size=g(7)))
+
+    return groups(text, P.CLF_FULL, 7, entry)
 
 
 def docker_json(text: Column) -> Column:
@@ -157,10 +164,13 @@ def raw(text: Column) -> Column:
 def csv(text: Column, header: Column) -> Column:
     """By the names of ``header``, lower-cased; a source without a header row has all its lines rejected."""
     names = F.transform(header, lambda x: F.lower(F.trim(x)))
-    fields = csv_fields(text)
-    n = F.least(F.size(names), F.size(fields))
-    m = _last_wins(F.slice(names, F.lit(1), n), F.slice(fields, F.lit(1), n))
-    return let(F.when(header.isNotNull(), F.map_filter(m, lambda k, v: v != "")), _from_map)
+
+    def entry(both):  # as many columns as both have
+        n = F.least(F.size(both["names"]), F.size(both["fields"]))
+        m = _last_wins(F.slice(both["names"], F.lit(1), n), F.slice(both["fields"], F.lit(1), n))
+        return let(F.map_filter(m, lambda k, v: v != ""), _from_map)
+
+    return F.when(header.isNotNull(), let(F.struct(names.alias("names"), csv_fields(text).alias("fields")), entry))
 
 
 def with_headers(entries: DataFrame) -> DataFrame:
@@ -193,13 +203,13 @@ def finished(rows: DataFrame, ref_year: int) -> DataFrame:
     A level word that names a level goes before the parser's own rank; what is still unknown is inferred
     from the message. Only RFC 3164 times, which lack a year, take ``ref_year``.
     """
+    rows = rows.filter("__p IS NOT NULL")
     ts = T.parse(F.col("__p.ts"), ref_year)
     ts = F.when((F.col("format") == "syslog-rfc3164") | ~F.coalesce(F.col("__p.ts"), F.lit("")).rlike("^[A-Z][a-z]{2} +[0-9]{1,2} [0-9]"), ts)
-    named = L.rank(F.col("__p.word"))
-    rows = rows.filter("__p IS NOT NULL").withColumns({"__ts": ts, "__named": F.when(named > 0, named).otherwise(F.col("__p.level"))})
-    rows = rows.filter("NOT __p.timed OR __ts IS NOT NULL")
-    level = F.when((F.col("__named") == 0) & (F.col("__p.message") != ""), L.infer(F.col("__p.message"))).otherwise(F.col("__named"))
-    return rows.select(F.col("__ts").alias("timestamp"), level.alias("level"), "source", F.col("__p.message").alias("message"), F.col("text").alias("raw_line"), "line_number", F.col("__p.metadata").alias("metadata"), "format")
+    named = let(L.rank(F.col("__p.word")), lambda k: F.when(k > 0, k).otherwise(F.col("__p.level")))
+    level = let(named, lambda k: F.when((k == 0) & (F.col("__p.message") != ""), L.infer(F.col("__p.message"))).otherwise(k))
+    rows = once(rows, __ts=ts, __level=level).filter("NOT __p.timed OR __ts IS NOT NULL")
+    return rows.select(F.col("__ts").alias("timestamp"), F.col("__level").alias("level"), "source", F.col("__p.message").alias("message"), F.col("text").alias("raw_line"), "line_number", F.col("__p.metadata").alias("metadata"), "format")
 
 
 def parse(entries: DataFrame, ref_year: int, formats: list[str] | None = None) -> DataFrame:
@@ -209,7 +219,7 @@ def parse(entries: DataFrame, ref_year: int, formats: list[str] | None = None) -
     their parsers go into the plan.
     """
     rows = with_headers(entries) if formats is None or "csv" in formats else entries.withColumn("header", F.lit(None).cast("array<string>"))
-    return finished(rows.withColumn("__p", parsed(F.col("text"), F.col("format"), F.col("header"), formats)), ref_year)
+    return finished(once(rows, __p=parsed(F.col("text"), F.col("format"), F.col("header"), formats)), ref_year)
 
 
 def source_stats(entries: DataFrame) -> DataFrame:

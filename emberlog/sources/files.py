@@ -8,7 +8,9 @@ from __future__ import annotations
 import io
 import sys
 import tarfile
+import zlib
 from collections.abc import Iterable
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,11 @@ from pyspark.sql import functions as F
 
 RAW_LINE = "source string, line_number long, text string"
 
+#: Broken and missing files are passed over with a warning.
+LENIENT = {"ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
+#: Lines of one Arrow batch out of an archive.
+BATCH_LINES = 8192
+
 #: Endings of log files; names without an ending count too.
 LOG_ENDINGS = (".log", ".txt", ".json", ".csv", ".out")
 ARCHIVE_ENDINGS = (".gz", ".tgz")
@@ -66,12 +73,16 @@ def read_text(spark: SparkSession, paths: list[str], whole: bool = False) -> Dat
     Large files are split. A first pass counts the lines of each split (one small row each); a line's
     number is its place in its split after the counts of those before it. ``whole`` reads each file in one
     task instead, which is quicker for many small files.
+
+    A file that is gone or broken doesn't end the run: what can be read of it counts (nothing with ``whole``),
+    and the executor that meets it logs a warning. A line may be of any length.
     """
+    reader = spark.read.options(**LENIENT)
     if whole:
-        lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+        lines = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
         lines = lines.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n", -1)).alias("n", "text"))
         return lines.select(_source("path"), (F.col("n") + 1).cast("long").alias("line_number"), "text")
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+    lines = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
     from pyspark.sql import Window
 
     splits = lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
@@ -92,9 +103,9 @@ def read_tar(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Lines of the log files in .tar.gz and .tgz archives; a member is a source ``path:member``.
 
     Members that aren't regular files, hidden or without a log ending are left out; a broken archive gives
-    the members before the break.
+    the lines before the break. An archive is one binary value, so it may have 2 GB; members are read line by line.
     """
-    files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content")
+    files = spark.read.format("binaryFile").options(**LENIENT).load(paths).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), "content")
 
     def run(batches):
         for b in batches:
@@ -105,12 +116,13 @@ def read_tar(spark: SparkSession, paths: list[str]) -> DataFrame:
                             name = m.name.rpartition("/")[2]
                             if not m.isfile() or name.startswith(".") or _ending(name) not in ("", *LOG_ENDINGS):
                                 continue
-                            text = tar.extractfile(m).read().decode("utf-8", "replace")
-                            lines = text.removesuffix("\n").split("\n") if text else []
-                            lines = [x.removesuffix("\r") for x in lines]
-                            cols = [pa.array([f"{path}:{m.name}"] * len(lines), pa.string()), pa.array(range(1, len(lines) + 1), pa.int64()), pa.array(lines, pa.string())]
-                            yield pa.RecordBatch.from_arrays(cols, ["source", "line_number", "text"])
-                except (tarfile.TarError, OSError, EOFError) as e:
+                            lines = io.TextIOWrapper(tar.extractfile(m), "utf-8", "replace", newline="\n")
+                            at = 1
+                            while some := [x.removesuffix("\n").removesuffix("\r") for x in islice(lines, BATCH_LINES)]:
+                                cols = [pa.array([f"{path}:{m.name}"] * len(some), pa.string()), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.string())]
+                                yield pa.RecordBatch.from_arrays(cols, ["source", "line_number", "text"])
+                                at += len(some)
+                except (tarfile.TarError, OSError, EOFError, zlib.error) as e:
                     print(f"emberlog: {path}: {e}", file=sys.stderr)
 
     return files.mapInArrow(run, RAW_LINE)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import signature
+from ..functions.text import once, signature
 from ..operators.chains import BUILTIN, Chain, _fits
 from ..operators.parse import finished, parsed
 
@@ -28,7 +28,7 @@ def entries(rows: DataFrame, fmt: str, ref_year: int) -> DataFrame:
     if fmt == "csv":
         raise ValueError("csv needs its header row, which a stream's micro-batches don't carry")
     ready = rows.withColumn("format", F.lit(fmt)).withColumn("line_number", F.lit(None).cast("long"))
-    return finished(ready.withColumn("__p", parsed(F.col("text"), F.col("format"))), ref_year)
+    return finished(once(ready, __p=parsed(F.col("text"), F.col("format"))), ref_year)
 
 
 def window_counts(df: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
