@@ -4,11 +4,11 @@ Each learned language gets a raw-content zstandard dictionary of its own text. A
 lower-cased letter runs and compressed whole with every dictionary; the smallest output names the
 language. The margin to the runner-up gives the score, and a narrow margin marks the row as rejected.
 
-Learning reads ids and languages only, keeps the row with the smallest hash in each of ``slots`` hash
-slots of a language (a partial aggregate of fixed-width values), and then fetches just those texts; the
-bound is slots x bytes_each for a language. Scoring streams whole texts; no shuffle.
+Learning takes whole texts of a bounded sample of rows: the row with the smallest hash in each of ``slots`` hash
+slots of a language (a partial aggregate of fixed-width values), among rows of up to ``most`` bytes; of these, in
+order of their hashes, those that together have up to ``most`` bytes. Scoring streams whole texts; no shuffle.
 
-Defined results: null texts and texts without a letter give ``und`` and score 0; ties go to the language
+Defined results: rows without a doc_id are judged like others, and never learned from; null texts and texts without a letter give ``und`` and score 0; ties go to the language
 that sorts first; with nothing learned every row is ``und``.
 """
 
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import lean, small_batches
 
 OTHER = regex.compile(r"[^\p{L}]+")
 
@@ -32,21 +32,26 @@ def normal(text: str) -> bytes:
     return (" " + OTHER.sub(" ", text.lower()).strip() + " ").encode()
 
 
-def learn(docs: DataFrame, fit_rows, slots: int = 64, bytes_each: int = 1500, seed: int = 5) -> dict[str, bytes]:
-    """One dictionary for each non-null lang among ``fit_rows``."""
+def learn(docs: DataFrame, fit_rows, slots: int = 64, most: int = 96_000, seed: int = 5) -> dict[str, bytes]:
+    """One dictionary for each non-null lang among ``fit_rows``, of up to ``slots`` whole texts and ``most`` bytes."""
     own = docs.filter(fit_rows & F.col("lang").isNotNull() & F.col("text").isNotNull())
     key = F.xxhash64("doc_id", F.lit(seed))
     # rows with a letter only; the check is a plain Java pattern, so the scan stays in the JVM
-    own = own.filter(F.col("text").rlike(r"\p{L}{3}")).select("doc_id", "lang", key.alias("key"))
+    own = own.filter((F.octet_length("text") <= most) & F.col("text").rlike(r"\p{L}{3}")).select("doc_id", "lang", key.alias("key"))
     least = own.groupBy("lang", F.pmod("key", F.lit(slots)).alias("slot")).agg(F.min("key").alias("key"))
     keys = {r["key"] for r in least.select("key").collect()}
     if not keys:
         return {}
-    got = docs.filter(fit_rows & key.isin([*keys])).select("lang", "text", key.alias("key")).dropna().distinct()
+    got = docs.filter(fit_rows & key.isin([*keys]) & (F.octet_length("text") <= most)).select("lang", "text", key.alias("key")).dropna().distinct()
     parts: dict[str, list[tuple[int, bytes]]] = {}
     for r in got.toLocalIterator():
-        parts.setdefault(r["lang"], []).append((r["key"], normal(r["text"])[:bytes_each]))
-    return {lang: b"".join(t for _, t in sorted(ts)) for lang, ts in sorted(parts.items())}
+        parts.setdefault(r["lang"], []).append((r["key"], normal(r["text"])))
+    out = {}
+    for lang, texts in sorted(parts.items()):
+        out[lang] = b""
+        for _, t in sorted(texts):
+            out[lang] += t if len(out[lang]) + len(t) <= most else b""
+    return {lang: raw for lang, raw in out.items() if raw}
 
 
 class Judge:
@@ -87,4 +92,4 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
             cols = [b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, ["row", "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
