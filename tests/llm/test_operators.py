@@ -1,6 +1,7 @@
 """The training-data operators on small tables: brute force, round trips, edge cases."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -149,8 +150,6 @@ def test_encoder_is_the_library():
 
 
 def test_hilbert_is_a_curve():
-    import itertools
-
     for n, bits in ((2, 4), (3, 2), (4, 2)):
         cells = np.array([*itertools.product(range(1 << bits), repeat=n)])
         h = packing.hilbert(cells, bits)
@@ -203,8 +202,49 @@ def test_lm_score(spark, docs):
         r = by[d]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) + 1, sum(x in c for x in w) + 1, n)
         assert r["base_score"] == pytest.approx(base) and r["score"] < 0
+    # the score, word by word: the class's probability after two classes, times the word's smoothed share of the class
+    stats = lm_score.statistics(lm_score.word_counts(docs.filter(fit), p), docs.filter(fit).count(), p)
+    model = lm_score.train(lm_score.trigrams(docs.filter(fit), lm_score.with_classes(docs.filter(fit), stats)), p)
+    table, known = model.table(), {int(h): k for k, h in enumerate(stats.known[0])}
+    one = lambda x: _words.words_of(pa.array([x], pa.binary()))
+    name = {x: int(_words.hashes(one(x)).view(np.int64)[0]) for x in {x for _, t in every for x in bwords(t)}}
+    assert len({*name.values()}) == len(name) and 0 < len(known) <= p.top
+    rank = lambda x: known.get(name[x], 10**9)
+    cls = {x: int(stats.class_of[rank(x) if rank(x) < p.units else len(known) + lm_score.bucket_of(one(x), p.buckets)[0]]) for x in name}
+    size, kinds = collections.Counter(), collections.Counter()
+    for x, k in c.items():
+        size[cls[x]] += k
+        kinds[cls[x]] += 1
+    share = lambda x: 0.0 if rank(x) < p.singles else math.log10((c[x] + 0.1) / (size[cls[x]] + 0.1 * (kinds[cls[x]] + 1)))
+    for d, t in every:
+        w = bwords(t)
+        line = [0, 0, *(cls[x] for x in w), 0]
+        want = sum(float(table[a * p.classes + b, k]) for a, b, k in zip(line, line[1:], line[2:])) + sum(map(share, w))
+        assert by[d]["score"] == pytest.approx(want, rel=1e-4), d
     nothing = lm_score.score(docs, F.lit(False), p).filter("doc_id = 4").first()
     assert nothing["n_known"] == 0 and nothing["base_score"] == pytest.approx(0)
+    assert lm_score.score(docs.limit(0), fit, p).count() == 0
+
+
+def test_lm_classes_tell_languages_apart():
+    rng = random.Random(16)
+    stock = [["la", "ke", *(f"a{x}ra" for x in WORDS)], ["to", "mi", *(f"o{x}st" for x in WORDS)]]
+    texts = pa.array([" ".join(rng.choices(stock[k % 2], weights=[20, 20] + [1] * len(WORDS), k=60)) for k in range(300)])
+    p = lm_score.Params(singles=4, groups=2, units=60)
+    w = lm_score.words_of(texts)
+    word, bucket, n = lm_score._summed([(lm_score.hashes(w), lm_score.bucket_of(w, p.buckets), np.ones(len(w.starts)))])
+    order = np.argsort(-n, kind="stable")
+    s = lm_score.Stats(p, np.stack([word.view(np.int64)[order], bucket[order], n[order]]), np.bincount(bucket, n, p.buckets), np.bincount(bucket, minlength=p.buckets) * 1.0, len(texts))
+    codes, k = np.unique(lm_score.near_codes(s, texts), return_counts=True)
+    near = np.zeros(s.n_units * p.singles)
+    near[codes] = k
+    s.class_of = lm_score.grouped(near.reshape(s.n_units, -1), s)
+    for own in stock:  # all rarer words of a language share a class, and the languages don't
+        got = s.read(pa.array([" ".join(own[2:])]))
+        assert len({*s.class_of[got[3]].tolist()}) == 1
+    assert s.class_of[s.read(pa.array([stock[0][5]]))[3]] != s.class_of[s.read(pa.array([stock[1][5]]))[3]]
+    size, kinds = s.class_sizes()
+    assert size.sum() == n.sum() and kinds.sum() == len(n) and (size[: 1 + p.singles] == [0, *n[order][:4]]).all()
 
 
 def test_lm_is_normalised_and_learns():
@@ -245,11 +285,65 @@ def test_urls(spark):
         assert (got[k]["host"], got[k]["path"], got[k]["rule"]) == (host, path, best and best.text), u
         if best:
             assert got[k]["verdict"] == best.verdict
-    assert got[11]["verdict"] == "block" and got[0]["verdict"] == "allow"
-    assert url_filter.Segmenter({"the": 50, "cat": 40, "sat": 30}).split("thecatsat") == ("the", "cat", "sat")
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_segmentation_is_the_best_split():
+    rng = random.Random(14)
+    for _ in range(200):
+        counts = {"".join(rng.choices("abc", k=rng.randint(1, 4))): rng.randint(1, 50) for _ in range(8)}
+        name, total = "".join(rng.choices("abcd", k=rng.randint(1, 9))), 500
+        cost = lambda w: math.log((total + 1000) / counts[w]) if w in counts else math.log(total + 1000) + 2.3 * len(w)
+        ways = [[name[a:b] for a, b in zip([0, *c], [*c, len(name)])] for k in range(len(name)) for c in itertools.combinations(range(1, len(name)), k)]
+        got = [w for w, _ in url_filter.split(name, counts, total)]
+        assert "".join(got) == name and sum(map(cost, got)) == pytest.approx(min(sum(map(cost, way)) for way in ways))
+    assert [w for w, _ in url_filter.split("thecatsat", {"the": 50, "cat": 40, "sat": 30}, 120)] == ["the", "cat", "sat"]
+
+
+def test_url_verdicts_are_naive_bayes(spark):
+    rng = random.Random(15)
+    words = ["red", "green", "blue", "news", "casino", "spam", "tree"]
+    rows = []
+    for k in range(400):
+        bad = k % 3 == 0
+        name = "".join(rng.choices(words, weights=[1, 1, 1, 6, 1, 1, 1] if not bad else [1, 1, 1, 1, 6, 4, 1], k=2))
+        end = ("net/es/", "com/de/", "org/es/")[0 if bad else 1] if k % 5 else "org/es/"
+        rows.append((k, f"http://{name}.{end}{rng.choice(words)}{k}", "<p>" + " ".join(words) + "</p>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def brute(good, listed, odds=4.0):
+        total = 400 * len(words)
+        extra = max(1, total // 2000)
+        known = {w: max(400, extra) for w in words} | {w: max(400 if w in words else 0, extra) for w in [*good, *listed]}
+        tokens, label = {}, {}
+        for k, u, _ in rows:
+            host, _, path = u.removeprefix("http://").partition("/")
+            parts = [("h", x) for x in host.split(".")[:-1]] + [("p", x) for x in path.split("/") if x not in ("en", "es", "fr")]
+            tokens[k] = [f"{s}:" + (w if w in known or w == "<num>" else "<other>") for s, x in parts for run in re.findall(r"[a-z]+|[0-9]+", x) for w in (["<num>"] if run.isdigit() else [w for w, _ in url_filter.split(run, known, total)])]
+            label[k] = "block" if ".net/es/" in u else "allow" if ".com/" in u else None
+
+        def fit(ids):
+            c = {v: collections.Counter(t for k in ids if label[k] == v for t in tokens[k]) for v in ("allow", "block")}
+            c["block"].update(f"{s}:{w}" for w in listed for s in "hp")
+            kinds, n = len({*c["allow"], *c["block"]}), collections.Counter(label[k] for k in ids)
+            size = {v: sum(c[v].values()) for v in c}
+            return lambda k, a: math.log(n["block"] / n["allow"]) + sum(math.log((c["block"][t] + a) / (size["block"] + a * (kinds + 1))) - math.log((c["allow"][t] + a) / (size["allow"] + a * (kinds + 1))) for t in tokens[k])
+
+        every = [k for k in label if label[k]]
+        return {a: {k: fit(every)(k, a) for k in label} for a in url_filter.SMOOTHING}, label
+
+    verdicts = {}
+    for good, listed in ((url_filter.GOOD, url_filter.BAD), ([], [])):
+        got = {r["page_id"]: r for r in url_filter.judge(pages, good=good, bad=listed).collect()}
+        ways, label = brute(good, listed)
+        assert any(all(got[k]["log_odds"] == pytest.approx(x, abs=1e-6) for k, x in way.items()) for way in ways.values())
+        for k, r in got.items():
+            assert r["verdict"] == (label[k] or ("block" if r["log_odds"] >= math.log(4) else "allow"))
+        verdicts[bool(listed)] = {k: r["verdict"] for k, r in got.items()}
+    # the list moves no more than urls at the very limit, as training holds its words
+    assert sum(v != verdicts[False][k] for k, v in verdicts[True].items()) <= 4 and 20 < sum(v == "block" and label[k] is None for k, v in verdicts[True].items())
+
+
 # ---- 7
 
 
