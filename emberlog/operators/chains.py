@@ -7,8 +7,9 @@ next of stage 2 after that", so chains are found with windows over the stage hit
 state. Hits are cut into time slices for that, so no task holds a pattern's whole history: whatever lies
 beyond a chain's window cannot matter.
 
-The closed form assumes that the cap on open chains (100 of a pattern) isn't reached. ``matched`` checks
-that and otherwise runs the automaton, over the hits alone.
+The closed form assumes that the cap on open chains (100 of a pattern) isn't reached. ``matched`` looks for
+patterns that might reach it and runs the automaton for those, over their hits alone: each pattern for itself, and
+apart wherever a whole slice without a hit leaves nothing open. Its state is the open chains, so hits stream by.
 """
 
 from __future__ import annotations
@@ -57,22 +58,32 @@ def matched(df: DataFrame, chains: list[Chain] | None = None, key: list[str] | N
     """
     chains, key = chains or BUILTIN, key or ["source", "line_number"]
     found = hits(df, chains, key)
-    if _cap_binds(found, chains, cap):
-        return automaton(found, chains, key, cap)
-    return closed_form(found, chains, key)
+    full = _full(found, chains, cap)
+    rest = found.filter(~F.col("chain").isin(full)) if full else found
+    starts = closed_form(rest, chains, key)
+    if full:
+        starts = starts.union(automaton(found.filter(F.col("chain").isin(full)), chains, key, cap))
+    return named(starts, chains, key)
 
 
-def _cap_binds(found: DataFrame, chains: list[Chain], cap: int) -> bool:
-    """Whether two slices next to each other could hold more starts of a pattern than the cap."""
-    width = F.element_at(F.array(*(F.lit(c.seconds * 1_000_000) for c in chains)), F.col("chain") + 1)
-    starts = found.filter("stage = 0").groupBy("chain", F.coalesce(F.floor(F.col("t") / width), F.lit(-1)).alias("slot")).agg(F.count("*").alias("n"))
-    return not starts.filter(F.col("n") > cap // 2).isEmpty()
+def _width(chains: list[Chain]) -> Column:
+    return F.element_at(F.array(*(F.lit(c.seconds * 1_000_000) for c in chains)), F.col("chain") + 1)
+
+
+def _place(key: list[str]) -> Column:
+    """Where a row stands in the order of the log."""
+    return F.struct(F.col("t").isNotNull().alias("timed"), "t", *key)
+
+
+def _full(found: DataFrame, chains: list[Chain], cap: int) -> list[int]:
+    """The patterns of which two slices next to each other could hold more starts than the cap."""
+    starts = found.filter("stage = 0").groupBy("chain", F.floor(F.col("t") / _width(chains)).alias("slot")).agg(F.count("*").alias("n"))
+    return sorted(r["chain"] for r in starts.filter(F.col("n") > cap // 2).select("chain").distinct().collect())
 
 
 def closed_form(found: DataFrame, chains: list[Chain], key: list[str]) -> DataFrame:
-    place = F.struct(F.col("t").isNotNull().alias("timed"), "t", *key)
-    width = F.element_at(F.array(*(F.lit(c.seconds * 1_000_000) for c in chains)), F.col("chain") + 1)
-    rows = found.select("chain", "stage", place.alias("at"), width.alias("width"))
+    """(chain, at, at1, at2): the places of each chain's rows, null where it didn't come so far."""
+    rows = found.select("chain", "stage", _place(key).alias("at"), _width(chains).alias("width"))
     # A chain's rows lie within one width of its start: slices of that width, each with a copy of the next
     # one's hits, hold all that matters. Rows without a time sort first and form a slice of their own;
     # chains that start there are expired by the first row with a time.
@@ -89,11 +100,15 @@ def closed_form(found: DataFrame, chains: list[Chain], key: list[str]) -> DataFr
     start = ranked.filter("own AND stage = 0")
     near = lambda c: F.when(F.col("at.t").isNull() & c["t"].isNull() | (c["t"] - F.col("at.t") <= F.col("width")), c)
     start = start.withColumn("at1", near(F.col("via.at"))).withColumn("at2", F.when(F.col("at1").isNotNull(), near(F.col("via.n2.at"))))
-    # numbers in order of starts: counts of time slices first, then inside a slice
-    start = start.withColumn("day", F.coalesce(F.floor(F.col("at.t") / 3_600_000_000), F.lit(-1)))
-    totals = start.groupBy("day").agg(F.count("*").alias("n"))
-    totals = totals.select("day", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    start = start.join(totals, "day").withColumn("n", F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("at", "chain")))
+    return start.select("chain", "at", "at1", "at2")
+
+
+def named(starts: DataFrame, chains: list[Chain], key: list[str]) -> DataFrame:
+    """(key columns, chain_id) from the chains' places: numbers in order of starts, counts of hours first, then inside an hour."""
+    start = starts.withColumn("hour", F.coalesce(F.floor(F.col("at.t") / 3_600_000_000), F.lit(-1)))
+    totals = start.groupBy("hour").agg(F.count("*").alias("n"))
+    totals = totals.select("hour", F.coalesce(F.sum("n").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    start = start.join(totals, "hour").withColumn("n", F.col("before") + F.row_number().over(Window.partitionBy("hour").orderBy("at", "chain")))
     name = F.element_at(F.array(*(F.lit(c.name) for c in chains)), F.col("chain") + 1)
     start = start.withColumn("chain_id", F.concat(name, F.lit("-"), F.col("n").cast("string")))
     part = lambda col, kind, n: F.struct(F.col(col).alias("at"), F.lit(kind).alias("kind"), n.alias("order"), F.col("chain_id"))
@@ -131,26 +146,65 @@ def run_automaton(rows: list[tuple], chains: list[Chain], cap: int = CAP) -> lis
 
 
 def automaton(found: DataFrame, chains: list[Chain], key: list[str], cap: int) -> DataFrame:
-    """``run_automaton`` over all hits in order, in one task: chains in excess of the cap depend on all before."""
-    spec = found.sparkSession.createDataFrame([], found.schema).select(*key).schema
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spec.fields)
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["t", *key], na_position="first", kind="stable")
-        places, rows, fits = [], [], []
-        for r in pdf.itertuples(index=False):
-            place = tuple(getattr(r, k) for k in key)
-            if not places or places[-1] != place:
-                places.append(place)
-                fits.append(set())
-                rows.append(None if pd.isna(r.t) else int(r.t))
-            fits[-1].add((r.chain, r.stage))
-        ids = run_automaton(list(zip(rows, fits)), chains, cap)
-        return pd.DataFrame([(*p, i) for p, i in zip(places, ids) if i], columns=[*key, "chain_id"])
-
-    return found.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, f"{fields}, chain_id string")
+    """(chain, at, at1, at2) as ``closed_form`` gives it, by the definition, cap included.
+
+    Two hits with an empty slice of a window's width between them are over a window apart. So the runs of
+    neighbouring slices of a pattern are independent; one small row for each slice tells the runs apart.
+    """
+    rows = found.select("chain", "stage", _place(key).alias("at"), F.floor(F.col("t") / _width(chains)).alias("slot"))
+    slots = rows.filter("slot IS NOT NULL").select("chain", "slot").distinct()
+    slots = slots.withColumn("run", F.col("slot") - F.row_number().over(Window.partitionBy("chain").orderBy("slot")))
+    rows = rows.join(slots.withColumnsRenamed({"chain": "__c", "slot": "__s"}), (F.col("chain") == F.col("__c")) & (F.col("slot") == F.col("__s")), "left")
+    # rows without a time have no slot and are a run of their own
+    rows = rows.select("chain", F.struct(F.col("run").isNull().alias("untimed"), "run").alias("run"), "at", "stage")
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "chain", "run").sortWithinPartitions("chain", "run", "at")
+    widths = [c.seconds * 1_000_000 for c in chains]
+
+    def run(batches):
+        import pyarrow as pa
+
+        alive: list[dict] = []  # open and completed chains of the run that haven't expired; "next" is the stage each waits for
+        now, place, stages = None, None, set()
+
+        def settle(out):  # the row at ``place`` is whole
+            t = place["t"]
+            if t is not None:
+                gone = [a for a in alive if a["at"]["t"] is None or t - a["at"]["t"] > widths[a["chain"]]]
+                out += gone
+                alive[:] = [a for a in alive if a not in gone]
+            for a in alive:
+                if a["next"] in stages:
+                    a[f"at{a['next']}"] = place
+                    a["next"] += 1
+            if 0 in stages and len(alive) < cap:
+                alive.append({"chain": now[0], "at": place, "at1": None, "at2": None, "next": 1})
+
+        def table(out, kind):
+            return pa.RecordBatch.from_arrays([pa.array([a["chain"] for a in out], pa.int32()), *(pa.array([a[k] for a in out], kind) for k in ("at", "at1", "at2"))], ["chain", "at", "at1", "at2"])
+
+        kind = None
+        for b in batches:
+            out: list[dict] = []
+            kind = b.schema.field("at").type
+            for chain, of, at, stage in zip(*(c.to_pylist() for c in b.columns)):
+                own = (chain, of["untimed"], of["run"])
+                if place is not None and (own != now or at != place):
+                    settle(out)
+                    stages = set()
+                if own != now:
+                    out += alive
+                    alive.clear()
+                now, place = own, at
+                stages.add(stage)
+            yield table(out, kind)
+        if place is not None:
+            out = []
+            settle(out)
+            yield table(out + alive, kind)
+
+    at = rows.schema["at"].dataType.simpleString()
+    return rows.mapInArrow(run, f"chain int, at {at}, at1 {at}, at2 {at}")
 
 
 def with_chains(df: DataFrame, chains: list[Chain] | None = None, key: list[str] | None = None) -> DataFrame:

@@ -32,8 +32,8 @@ class Options:
 
 
 def ingest(lines: DataFrame, ref_year: int, sample: int = 100) -> DataFrame:
-    """``log_entry`` rows from ``raw_line`` rows. Formats are one small row for each source."""
-    formats = detect.source_formats(lines, sample).cache()
+    """``log_entry`` rows from ``raw_line`` rows. The vote on formats reads the first lines twice: for the plan, and in it."""
+    formats = detect.source_formats(lines, sample)
     names = [r["format"] for r in formats.select("format").distinct().collect()]
     return parse.parse(reassemble.entries(lines.join(formats, "source")), ref_year, names)
 
@@ -66,11 +66,19 @@ def filter_stats(entries: DataFrame, survivors: DataFrame, opts: FilterOptions)
 
 @dataclass
 class Result:
+    """Rows are lazy; survivors are in the order of the log (no timestamp first, then time, source, line)."""
+
     entries: DataFrame
     survivors: DataFrame
     enriched: DataFrame
     stats: dict
     summary: str
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Give back what was kept for further reading; the rows can still be read, from the sources."""
+        for df in self.held:
+            df.unpersist()
 
 
 def analyze(spark: SparkSession, sources: Iterable[str] = (), opts: Options | None = None, lines: DataFrame | None = None, whole: bool = False) -> Result:
@@ -78,7 +86,7 @@ def analyze(spark: SparkSession, sources: Iterable[str] = (), opts: Options | No
     opts = opts or Options()
     sources = [*sources]
     raw = files.read(spark, sources, whole) if lines is None else lines
-    entries = ingest(raw, opts.ref_year).cache()
+    entries = ingest(raw, opts.ref_year)
     survivors = filtered(entries, opts.filter, lines is None and sources in ([], ["-"])).cache()
     rich = enriched(survivors, opts).cache()  # statistics and every section of the summary read these two
-    return Result(entries, survivors, rich, filter_stats(entries, survivors, opts.filter), compact.summary(rich, opts.budget))
+    return Result(entries, survivors.orderBy(*dedup.order()), rich, filter_stats(entries, survivors, opts.filter), compact.summary(rich, opts.budget), [survivors, rich])

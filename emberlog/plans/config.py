@@ -10,6 +10,8 @@ from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 from ..functions import levels as L
+from ..operators.filters import FilterOptions, noise_patterns
+from .analyze import Options
 
 _UNITS = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "ms": 1e-3, "s": 1, "m": 60, "h": 3600}
 
@@ -32,6 +34,10 @@ def moment(text: str, now: datetime | None = None) -> datetime:
     return t if t.tzinfo else t.astimezone()
 
 
+#: Report formats.
+FORMATS = ("text", "json", "markdown")
+
+
 @dataclass
 class Config:
     level: str = "warn"
@@ -44,10 +50,13 @@ class Config:
     dedup_keep: int = 5
     spike_multiplier: float = 10.0
     auto_window: bool = True
-    correlation_seconds: float = 5.0
-    provider: str = ""
+    correlation_seconds: float = 0.0
+    ai_provider: str = ""
     model: str = ""
-    timeout: str = "5m"
+    ai_timeout: str = "5m"
+    system_prompt: str = ""
+    no_color: bool = False
+    verbose: bool = False
     sources: list[str] = field(default_factory=list)
 
     @classmethod
@@ -66,5 +75,25 @@ class Config:
 
     @property
     def min_level(self) -> int:
+        """The level's rank; a word that names none is refused."""
         word = self.level.strip().upper()
-        return next((k for k, names in enumerate(L.NAMES) if names == word), next((k for k, s in L.SPELLINGS.items() if word in s), L.WARN))
+        rank = next((k for k, names in L.SPELLINGS.items() if word in names), L.UNKNOWN)
+        if rank == L.UNKNOWN:
+            raise ValueError(f"not a log level: {self.level!r}")
+        return rank
+
+    @property
+    def timeout_seconds(self) -> float:
+        seconds = duration(self.ai_timeout or "5m").total_seconds()
+        if seconds <= 0:
+            raise ValueError("the provider's timeout must be positive")
+        return seconds
+
+    def options(self, now: datetime | None = None) -> Options:
+        """What the analysis is told. Anything that can't be read is a ValueError before any work."""
+        if self.format not in FORMATS:
+            raise ValueError(f"not an output format: {self.format!r} (one of {', '.join(FORMATS)})")
+        at = lambda text: moment(text, now) if text else None
+        noise = noise_patterns(Path(self.noise_file).read_text()) if self.noise_file else []
+        kept = FilterOptions(self.min_level, at(self.since), at(self.until), noise, [], self.dedup_keep, self.spike_multiplier, self.auto_window)
+        return Options(kept, self.correlation_seconds, self.budget)

@@ -38,6 +38,34 @@ def test_timestamps(spark):
     assert got == [base, base - 7200 * 10**6 + 123456, base + 250000, base, base + 250000, base, base, base, None, None, None, None]
 
 
+def test_timestamp_fractions(spark):
+    """Every layout, without and with a fraction after a dot or a comma."""
+    layouts = ["2024-01-02T03:04:05{}Z", "2024-01-02T05:04:05{}+02:00", "2024-01-02T03:04:05{}", "2024-01-02 03:04:05{}", "02/Jan/2024:03:04:05{} +0000", "Jan  2 03:04:05{}", "Jan 2 03:04:05{}"]
+    base = 1704164645 * 10**6
+    for fraction, micros in (("", 0), (".5", 500_000), (",123", 123_000), (".123456789", 123_456)):
+        got = column(spark, [x.format(fraction) for x in layouts], lambda c: F.unix_micros(T.parse(c, 2024)))
+        assert got == [base + micros] * len(layouts), fraction
+    assert column(spark, ["Jan 2, 2024 @ 03:04:05,250"], lambda c: F.unix_micros(T.parse(c, 2024))) == [base + 250_000]
+    texts = ["2024-01-15T10:30:45,123 ERROR x", "02/Jan/2024:03:04:05 +0000 x", "1704164645      x", "2024-01-02 03:04:05.5Z x", "x 2024", "12 short"]
+    assert column(spark, texts, T.prefix) == ["2024-01-15T10:30:45,123", "02/Jan/2024:03:04:05 +0000", "1704164645     ", "2024-01-02 03:04:05.5", "", ""]
+    lines = raw_lines(spark, {"g": ["2024-01-15T10:30:45,123 ERROR one", "2024-01-15 10:30:46,5 WARN two"]})
+    assert [(r["level"], r["message"], r["timestamp"].microsecond) for r in analyze.ingest(lines, 2024).orderBy("line_number").collect()] == [(5, "ERROR one", 123_000), (4, "WARN two", 500_000)]
+
+
+def test_json_is_one_object(spark):
+    texts = ['{"a":{"b":"}{"},"c":[{"d":1},{}]}', '{"a":1} {"b":2}', '{"a":"\\"}{"}', '{}', '{"a":1}}', '{"a":1} x', "{'a':1}", '{"a":NaN}', '  {"a":{}}  ', '["a"]', ""]
+    assert [m is not None for m in column(spark, texts, detect.json_map)] == [True, False, True, True, False, False, False, False, True, False, False]
+
+
+def test_parsers_are_evaluated_once(spark):
+    from emberlog.functions import patterns as P
+
+    for fmt, pattern in (("clf", P.CLF_FULL), ("syslog-rfc3164", P.SYSLOG_3164_FULL), ("json", "from_json"), ("logfmt", "regexp_extract_all"), ("csv", "regexp_extract_all")):
+        lines = raw_lines(spark, {fmt: LINES[fmt]}).withColumn("format", F.lit(fmt))
+        plan = parse.parse(lines, 2024, [fmt]).filter("level > 2").select("message", "timestamp")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.replace("entries", "from_json").count(pattern) <= (4 if fmt == "csv" else 2), fmt  # csv: its header row too
+
+
 def test_signature(spark):
     texts = ['user 12 from 10.0.0.1:80', 'id 550e8400-e29b-41d4-a716-446655440000', 'at 2024-01-02T03:04:05 in /var/log/a.log', '"quoted 1" deadbeef99', 'say "550e8400-e29b-41d4-a716-446655440000"', "é12345678", ""]
     want = ["user <NUM> from <IP>:<NUM>", "id <UUID>", "at <TS> in <PATH>", "<STR> <HEX>", "say <UUID>", "é<HEX>", ""]
@@ -118,6 +146,13 @@ def test_sources(spark, tmp_path):
         by.setdefault(r["source"].rpartition("/")[2], {})[r["line_number"]] = r["text"]
     assert by["a.log"] == {k: f"line {k}" for k in range(1, 400)}
     assert by["b.log.gz:b.log"] == {1: "x", 2: "y"}
+    broken = (tmp_path / "b.log.gz").read_bytes()
+    (tmp_path / "e.log.gz").write_bytes(gzip.compress(text.encode())[:-300])
+    (tmp_path / "f.tgz").write_bytes((tmp_path / "d.tar.gz").read_bytes()[:-40])
+    (tmp_path / "g.log.gz").write_bytes(b"not gzip at all" + broken)
+    again = files.read(spark, [str(tmp_path)])
+    assert again.filter(F.col("source").endswith("a.log") & ~F.col("source").contains(":")).count() == 399
+    assert again.filter(F.col("source").endswith("b.log")).count() == 2 and again.filter(F.col("source").contains("e.log")).count() < 399
     whole = {(r["source"], r["line_number"]): r["text"] for r in files.read_text(spark, [str(tmp_path / "a.log")], whole=True).collect()}
     assert len(whole) == 399
 
@@ -180,7 +215,8 @@ def test_chains_match_the_automaton(spark):
         df = entries(spark, rows)
         assert {r["line_number"]: r["chain_id"] for r in chains.matched(df, RULES).collect()} == want
         hits = chains.hits(df, RULES, ["source", "line_number"])
-        assert {r["line_number"]: r["chain_id"] for r in chains.automaton(hits, RULES, ["source", "line_number"], 100).collect()} == want
+        key = ["source", "line_number"]
+        assert {r["line_number"]: r["chain_id"] for r in chains.named(chains.automaton(hits, RULES, key, 100), RULES, key).collect()} == want
 
 
 def test_chain_cap(spark):
@@ -189,6 +225,16 @@ def test_chain_cap(spark):
     assert len(set(ids)) == 100 and "one-100" in ids
 
 
+def test_chain_cap_by_pattern_and_gap(spark):
+    rng = random.Random(7)
+    times = sorted(rng.randrange(30) + 200 * rng.randrange(3) for _ in range(240))
+    rows = [(None if k < 5 else t, 5, "s", rng.choice("aaabbcx")) for k, t in enumerate(times)]
+    fits = [(None if t is None else t * 1_000_000, {(c, k) for c, rule in enumerate(RULES) for k, s in enumerate(rule.stages) if s.pattern in m}) for t, _, _, m in rows]
+    for cap in (3, 8, 20):
+        want = {k: i for k, i in enumerate(chains.run_automaton(fits, RULES, cap), 1) if i}
+        assert {r["line_number"]: r["chain_id"] for r in chains.matched(entries(spark, rows), RULES, cap=cap).collect()} == want, cap
+
+
 def test_builtin_chains(spark):
     said = ["lock timeout", "too many connections", "query failed"]
     got = chains.matched(entries(spark, [(k, 5, "s", m) for k, m in enumerate(said)])).collect()
@@ -234,6 +280,38 @@ def test_config(tmp_path):
     (tmp_path / "c.toml").write_text('level = "error"\nbudget = 100\n')
     c = Config.load({"budget": 5, "format": None}, str(tmp_path / "c.toml"), {"EMBERLOG_LEVEL": "info"})
     assert (c.level, c.budget, c.min_level, c.format) == ("info", 5, 3, "text")
+    for wrong in ({"level": "loud"}, {"since": "soon"}, {"until": "2024-99-01"}, {"format": "xml"}, {"noise_file": str(tmp_path / "none")}):
+        with pytest.raises((ValueError, OSError)):
+            Config.load(wrong, env={}).options()
+    with pytest.raises(ValueError):
+        _ = Config(ai_timeout="0s").timeout_seconds
+    (tmp_path / "noise.txt").write_text("# own\nheartbeat\n")
+    o = Config.load({"level": "error", "since": "1h", "noise_file": str(tmp_path / "noise.txt")}, env={}).options(now)
+    assert (o.filter.min_level, o.filter.since.hour, o.filter.noise, o.filter.auto_window, o.correlation_seconds) == (5, 23, ["heartbeat"], True, 0.0)
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from emberlog.__main__ import main
+    from emberlog.plans import providers
+
+    (tmp_path / "app.log").write_text("2024-01-02 03:04:05 ERROR disk full\n2024-01-02 03:04:06 INFO fine\n2024-01-02 03:04:07 ERROR heartbeat lost\n")
+    (tmp_path / "noise").write_text("heartbeat\n")
+    run = lambda *a: (main([str(tmp_path / "app.log"), "--config", str(tmp_path / "none"), *a], spark, out := io.StringIO()), out.getvalue())
+    code, text = run("--noise-file", str(tmp_path / "noise"))
+    assert code == 0 and "disk full" in text and "heartbeat" not in text and "\x1b" not in text and "ingested: 3" in capsys.readouterr().err
+    code, text = run("--format", "json", "--level", "info")
+    assert code == 0 and json.loads(text)["stats"]["survived"] == 3
+    code, text = run("--format", "markdown", "--output", str(tmp_path / "r.md"))
+    assert code == 0 and text == "" and (tmp_path / "r.md").read_text().startswith("# Log Analysis")
+    for wrong in (["--level", "loud"], ["--format", "xml"], ["--since", "x"], ["--ai-provider", "none"], ["--ai-provider", "ollama", "--ai-timeout", "0s"]):
+        assert run(*wrong) == (2, "")
+    monkeypatch.setattr(providers.Http, "stream", lambda self, system, prompt: iter(["it was ", "the disk"]))
+    code, text = run("--ai-provider", "ollama", "--model", "m")
+    assert code == 0 and text.startswith("it was the disk\n") and "## " in text
+    code, text = run("--ai-provider", "ollama", "--format", "json")
+    assert json.loads(text)["analysis"] == "it was the disk"
 
 
 def test_providers():
