@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import small_batches, stored
+from ._common import lean, small_batches, stored
 
 ANSWER = "query_id long, vec_id long, score double"
 
@@ -167,7 +167,7 @@ def _one_length(both: DataFrame, rows: DataFrame, length: int, count: int, k, di
     kind = {"float": "<f4", "double": "<f8"}.get(both.schema["v"].dataType.elementType.simpleString())
     if kind is None:
         both, kind = both.withColumn("v", F.col("v").cast("array<double>")), "<f8"
-    placed = stored(both.mapInArrow(file, "leaf long, vec_id long, v binary, p binary, filed boolean, asks boolean"), "leaves")
+    placed = stored(both.mapInArrow(lean(file), "leaf long, vec_id long, v binary, p binary, filed boolean, asks boolean"), "leaves")
     index, asks = placed.filter("filed").drop("filed", "asks"), placed.filter("asks").drop("filed", "asks")
 
     def matrix(col, dtype, width):
@@ -208,7 +208,7 @@ def _one_length(both: DataFrame, rows: DataFrame, length: int, count: int, k, di
                 cols = [pa.array(np.concatenate(hits).astype(np.int64)), *(b.column(c).take(at) for c in (1, 2, 3, 4))]
                 yield pa.RecordBatch.from_arrays(cols, ["leaf", "vec_id", "v", "p", "known"])
 
-        visits = stored(rest.select("leaf", "vec_id", "v", "p", "known").mapInArrow(route, "leaf long, vec_id long, v binary, p binary, known double"), "visits")
+        visits = stored(rest.select("leaf", "vec_id", "v", "p", "known").mapInArrow(lean(route), "leaf long, vec_id long, v binary, p binary, known double"), "visits")
         home = home.union(visited(visits))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return home.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches, stored
+from ._common import lean, small_batches, stored
 from .tokens import encoder
 
 END = 1
@@ -97,7 +97,7 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
         enc.forget()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return rows.mapInArrow(run, "doc_id long, ids binary, n long, " + ", ".join(f"p{j} double" for j in range(DIMS)))
+    return rows.mapInArrow(lean(run), "doc_id long, ids binary, n long, " + ", ".join(f"p{j} double" for j in range(DIMS)))
 
 
 def placed(tokens: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, per_task: int = 32 <
             yield closed(own, seq)
             seq += 1
 
-    return rows.select("doc_id", "ids", "n").mapInArrow(run, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return rows.select("doc_id", "ids", "n").mapInArrow(lean(run), "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def digests(pieces: DataFrame, wide: int) -> DataFrame:
@@ -188,4 +188,4 @@ def digests(pieces: DataFrame, wide: int) -> DataFrame:
             cols = [b.column(0), b.column(1), pa.array([len(x) // wide for x in raw], pa.int64()), pa.array(sums, pa.int64()), b.column(3), b.column(4), b.column(5)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return pieces.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pieces.mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -6,10 +6,11 @@ the maximum of each is pooled, and a logistic layer scores the pooled values. Tr
 (Adagrad) on a bounded sample of labelled rows; the rest of the fit set calibrates one threshold per
 guessed language. The language is guessed from the text's own function words, never from a column.
 
-Scoring streams whole texts through ``mapInArrow``: no shuffle, memory bounded by one Arrow batch plus
-a bounded cache of word rows.
+Scoring streams whole texts through ``mapInArrow``: no shuffle. A long text goes through in slices, each led
+in by the last words of the one before; maxima over slices are maxima over the text. So memory is bounded by
+one Arrow batch, one slice and a bounded cache of word rows, however long a text is.
 
-Defined results: null and empty texts score like a text of padding alone; a label that is null is not
+Defined results: a row without a doc_id is scored, and never learned from; null and empty texts score like a text of padding alone; a label that is null is not
 used; a document with several labels counts as toxic if any says so; with no usable label of either
 kind the model is constant (score 0.0 and prediction 0).
 """
@@ -19,13 +20,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_words, small_batches
+from ._common import lean, small_batches, word_slices
 
 #: Frequent function words by language, for the guess that picks a threshold.
 FUNCTION_WORDS = {
@@ -39,9 +41,10 @@ LANGS = [*FUNCTION_WORDS]
 
 @dataclass(frozen=True)
 class Params:
-    """``per_class`` bounds the labelled rows of each class that are fitted."""
+    """``per_class`` bounds the labelled rows of each class that are fitted, ``words`` their words in all."""
 
     per_class: tuple[int, int] = (5000, 2500)  # not toxic, toxic
+    words: int = 1 << 23
     buckets: int = 1 << 15
     dims: int = 8
     filters: int = 8
@@ -50,7 +53,8 @@ class Params:
     batch: int = 64
     rate: float = 0.08
     seed: int = 11
-    cached_words: int = 120_000
+    cached_words: int = 60_000
+    slice_bytes: int = 1 << 17
 
 
 @dataclass
@@ -65,12 +69,12 @@ class Model:
 
 
 class WordRows(dict):
-    """word -> row number; hash buckets and language code of each row."""
+    """word -> row number, from 1; hash buckets and language code of each row. Row 0 is padding."""
 
     CODE = {w.encode(): i for i, ws in enumerate(FUNCTION_WORDS.values()) for w in ws}
 
     def __init__(self, p: Params):
-        self.p, self.whole, self.stem, self.code = p, [], [], []
+        self.p, self.whole, self.stem, self.code = p, [0], [0], [len(LANGS)]
 
     def __missing__(self, w: bytes) -> int:
         n = self[w] = len(self.whole)
@@ -80,13 +84,38 @@ class WordRows(dict):
         self.code.append(self.CODE.get(bare, len(LANGS)))
         return n
 
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
-def _layout(docs: list[np.ndarray], pad: int, before: int):
-    """All documents in a row, each after ``before`` padding rows; where each one's own rows begin and end."""
+
+class Taps:
+    """Tap values and language code of the words met so far, at most about ``cached_words`` of them."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.index, self.n = WordRows(self.model.params), 1
+        self.values, self.codes = np.zeros((1024, self.model.taps.shape[1]), np.float32), np.full(1024, len(LANGS), np.int8)
+
+    def catch_up(self) -> None:
+        n = len(self.index.whole)
+        if n > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros((max(n, 2 * self.n) - len(self.values), self.values.shape[1]), np.float32)])
+            self.codes = np.concatenate([self.codes, np.zeros(len(self.values) - len(self.codes), np.int8)])
+        new, own = slice(self.n, n), self.model.taps
+        self.values[new] = own[self.index.whole[new]] + own[self.index.stem[new]]
+        self.codes[new] = self.index.code[new]
+        self.n = n
+
+
+def _layout(docs: list[np.ndarray], pad: int, before: int, leads: list[np.ndarray] | None = None):
+    """All documents in a row, each after ``before`` rows of lead (padding, if none is given); where each one's own rows begin and end."""
     starts, parts, at = [], [], 0
     gap = np.full(before, pad, dtype=np.int64)
-    for d in docs:
-        parts += [gap, d]
+    for k, d in enumerate(docs):
+        parts += [gap if leads is None else leads[k], d]
         starts.append(at + before)
         at += before + len(d)
     parts.append(np.array([pad], dtype=np.int64))
@@ -94,8 +123,8 @@ def _layout(docs: list[np.ndarray], pad: int, before: int):
     return np.concatenate(parts), starts, starts + np.array([len(d) for d in docs], dtype=np.int64)
 
 
-def _pooled(taps: np.ndarray, bias: np.ndarray, starts, ends, p: Params) -> np.ndarray:
-    """Max over each document of every filter; ``taps`` holds one row of tap values for each position."""
+def _tops(taps: np.ndarray, starts, ends, p: Params) -> np.ndarray:
+    """Max over each document of every filter, -inf without a word; ``taps`` holds one row of tap values for each position."""
     f, at, out = p.filters, 0, []
     cut = np.stack([starts, ends], axis=1).ravel()
     for w in p.widths:
@@ -104,30 +133,37 @@ def _pooled(taps: np.ndarray, bias: np.ndarray, starts, ends, p: Params) -> np.n
             back = w - 1 - j
             conv[back:] += taps[:-back, at + j * f : at + (j + 1) * f]
         top = np.maximum.reduceat(conv, cut, axis=0)[::2]
-        top[starts == ends] = 0
+        top[starts == ends] = -np.inf
         out.append(top)
         at += w * f
-    return np.maximum(np.concatenate(out, axis=1) + bias, 0)
+    return np.concatenate(out, axis=1)
 
 
-def _guess(codes: np.ndarray, starts, ends) -> np.ndarray:
-    """The language with most function words in each document, or len(LANGS)."""
+def _activated(tops: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.maximum(np.where(np.isneginf(tops), 0, tops) + bias, 0)
+
+
+def _hits(codes: np.ndarray, starts, ends) -> np.ndarray:
+    """Function words of each language in each document."""
     cut, hits = np.stack([starts, ends], axis=1).ravel(), []
     for k in range(len(LANGS)):
         n = np.add.reduceat((codes == k).astype(np.int64), cut)[::2]
         n[starts == ends] = 0
         hits.append(n)
-    hits = np.stack(hits, axis=1)
+    return np.stack(hits, axis=1)
+
+
+def _guess(hits: np.ndarray) -> np.ndarray:
+    """The language with most function words of each document, or len(LANGS)."""
     return np.where(hits.max(axis=1) > 0, hits.argmax(axis=1), len(LANGS))
 
 
-def features(text, index: WordRows) -> tuple[np.ndarray, int]:
-    """(2, n) hash buckets of a text's words and stems, and the language its function words point to."""
-    at = np.fromiter(map(index.__getitem__, byte_words(text)), dtype=np.int64)
-    codes = np.array([*index.code, 0])[at] if len(at) else at
-    hits = np.bincount(codes[codes < len(LANGS)], minlength=1)
-    lang = int(hits.argmax()) if hits.any() else len(LANGS)
-    return np.stack([np.array([*x, 0], dtype=np.int32)[at] for x in (index.whole, index.stem)]), lang
+def features(texts: list, index: WordRows) -> list[tuple[np.ndarray, int]]:
+    """(2, n) hash buckets of each text's words and stems, and the language its function words point to."""
+    at = [np.concatenate([np.zeros(0, np.int64), *map(index.rows, word_slices(t))]) for t in texts]
+    whole, stem, codes = np.array(index.whole, np.int32), np.array(index.stem, np.int32), np.array(index.code)
+    hits = np.array([np.bincount(codes[x], minlength=len(LANGS) + 1)[: len(LANGS)] for x in at])
+    return [(np.stack([whole[x], stem[x]]), int(k)) for x, k in zip(at, _guess(hits) if len(at) else ())]
 
 
 def sample(docs: DataFrame, labels: DataFrame, p: Params, fit_rows=None) -> list[tuple[np.ndarray, int, int]]:
@@ -148,21 +184,28 @@ def sample(docs: DataFrame, labels: DataFrame, p: Params, fit_rows=None) -> list
     small_batches(docs.sparkSession)
 
     def run(batches):
-        index = WordRows(p)
         for b in batches:
-            got = []
-            for t in b.column(1).to_pylist():
-                if len(index) > 50_000:
-                    index = WordRows(p)
-                got.append(features(t, index))
-            cols = [b.column(0), pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([k for _, k in got], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "f", "lang"])
-
-    rows = docs.filter(docs["doc_id"].isin([*ids])).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("t"))
-    got = {}
-    for r in rows.mapInArrow(run, "doc_id long, f binary, lang int").toLocalIterator():
-        x = (bytes(r["f"]), r["lang"])
-        got[r["doc_id"]] = max(x, got.get(r["doc_id"], x))  # of rows that share a doc_id, the same one each time
+            got = features(b.column(1).to_pylist(), WordRows(p))
+            cols = [b.column(0), pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([k for _, k in got], pa.int32()), b.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "f", "lang", "key"])
+
+    rows = docs.filter(docs["doc_id"].isin([*ids])).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("t"), F.xxhash64(docs["doc_id"], F.lit(p.seed)).alias("key"))
+    got, last, held = {}, [], 0
+    for r in rows.mapInArrow(lean(run), "doc_id long, f binary, lang int, key long").toLocalIterator():
+        d, x = r["doc_id"], (bytes(r["f"]), r["lang"])
+        if d not in ids:  # it was among the last by hash, and too much
+            continue
+        if d in got:
+            held -= len(got[d][0])
+            x = max(x, got[d])  # of rows that share a doc_id, the same one each time
+        else:
+            heappush(last, (-r["key"], -d))
+        got[d] = x
+        held += len(x[0])
+        while held > 8 * p.words:  # whole rows go, the last by hash first, whatever the order of arrival
+            _, d = heappop(last)
+            held -= len(got.pop(-d)[0])
+            del ids[-d]
     rng = np.random.default_rng(p.seed)
     order = rng.permutation(len(got))
     every = sorted(got.items())
@@ -284,38 +327,47 @@ def _logits(m: Model, docs: list[np.ndarray]) -> np.ndarray:
     stems, _, _ = _layout([x[1] for x in docs], pad, max(p.widths) - 1)
     real = (flat < pad)[:, None]
     taps = np.where(real, m.taps[np.minimum(flat, pad - 1)] + m.taps[np.minimum(stems, pad - 1)], 0)
-    return _pooled(taps, m.bias, starts, ends, p) @ m.out + m.out_bias
+    return _activated(_tops(taps, starts, ends, p), m.bias) @ m.out + m.out_bias
 
 
 def score_texts(model: Model, batches: Iterator[list]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Scores and guessed languages of lists of texts (str, bytes or None)."""
-    p = model.params
-    index, rows = WordRows(p), np.zeros((0, model.taps.shape[1]), np.float32)
+    p, cache = model.params, Taps(model)
+    before = max(p.widths) - 1
     for texts in batches:
         if model.constant:
             yield np.zeros(len(texts)), np.full(len(texts), len(LANGS))
             continue
-        if len(index.whole) > p.cached_words:
-            index, rows = WordRows(p), rows[:0]
-        scores, langs = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-        todo, held = [], 0
-        for k, t in enumerate(texts):  # a few documents at a time keep the tap matrix small
-            todo.append(np.fromiter(map(index.__getitem__, byte_words(t)), dtype=np.int64))
-            held += len(todo[-1])
-            if held > 100_000 or k == len(texts) - 1:
-                if len(index.whole) > len(rows):
-                    new = slice(len(rows), None)
-                    rows = np.concatenate([rows, model.taps[index.whole[new]] + model.taps[index.stem[new]]])
-                codes = np.array([*index.code, len(LANGS)], dtype=np.int64)
-                flat, starts, ends = _layout(todo, len(rows), max(p.widths) - 1)
-                taps = np.concatenate([rows, np.zeros((1, rows.shape[1]), np.float32)])[flat]
-                logit = _pooled(taps, model.bias, starts, ends, p) @ model.out + model.out_bias
-                lang = _guess(codes[flat], starts, ends)
-                own = slice(k + 1 - len(todo), k + 1)
-                scores[own] = 1 / (1 + np.exp(-np.clip(logit - model.thresholds[lang], -50, 50)))
-                langs[own] = lang
-                todo, held = [], 0
-        yield scores, langs
+        tops, hits = np.full((len(texts), len(model.bias)), -np.inf), np.zeros((len(texts), len(LANGS)), np.int64)
+        todo: list[tuple[int, np.ndarray, np.ndarray]] = []  # text, lead and words of the slices at hand
+        held = 0
+
+        def flush():
+            cache.catch_up()
+            flat, starts, ends = _layout([x for _, _, x in todo], 0, before, [x for _, x, _ in todo])
+            at = np.array([k for k, _, _ in todo])
+            np.maximum.at(tops, at, _tops(cache.values[flat], starts, ends, p))
+            np.add.at(hits, at, _hits(cache.codes[flat], starts, ends))
+            todo.clear()
+
+        for k, t in enumerate(texts):
+            lead: list[bytes] = []
+            for words in word_slices(t, p.slice_bytes):
+                ahead = np.zeros(before, np.int64)
+                ahead[before - len(lead) :] = cache.index.rows(lead)
+                todo.append((k, ahead, cache.index.rows(words)))
+                lead = [*lead, *words][-before:] if before else []
+                held += len(words)
+                if held > 32_768:  # a few slices at a time keep the tap matrix small
+                    flush()
+                    held = 0
+                    if len(cache.index.whole) > p.cached_words:
+                        cache.forget()
+        if todo:
+            flush()
+        lang = _guess(hits)
+        logit = _activated(tops, model.bias) @ model.out + model.out_bias
+        yield 1 / (1 + np.exp(-np.clip(logit - model.thresholds[lang], -50, 50))), lang
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -323,22 +375,23 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("binary").alias("t"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    at = docs.columns.index("text")
 
     def run(batches):
         kept = []
 
         def texts():
             for b in batches:
-                kept.append(b)
-                yield b.column(1).to_pylist()
+                kept.append(b.column(0))
+                yield b.column(0).field(at).cast(pa.binary()).to_pylist()
 
         for s, lang in score_texts(shared.value, texts()):
             names = pa.array([[*LANGS, "other"][k] for k in lang], pa.string())
-            yield pa.RecordBatch.from_arrays([kept.pop().column(0), pa.array(s, pa.float64()), names], ["row", "score", "guessed"])
+            yield pa.RecordBatch.from_arrays([kept.pop(), pa.array(s, pa.float64()), names], ["row", "score", "guessed"])
 
     schema = f"row {rows.schema['row'].dataType.simpleString()}, score double, guessed string"
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def trained(docs: DataFrame, labels: DataFrame, p: Params = Params(), fit_rows=None) -> Model:
