@@ -11,7 +11,7 @@ A quota never passes 2 B, so no block, and no document, is taken more than twice
 two-level running sum (over at most ``chunks`` totals for a source, then inside a chunk), so that a source
 with a third of all rows is spread over many tasks; the join's keys are single blocks.
 
-Defined results: null text has size 0 and is taken 0 times; a null source is a source of its own, last in
+Defined results: null text has size 0 and is taken 0 times; rows without a doc_id take part like others; a null source is a source of its own, last in
 order; sources without a word have target 0; equal rows are interchangeable; reruns agree.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACES, stored, words
+from ._common import SPACES, let, stored, words
 
 #: Weights of the sources in order, repeating, and the share of all words that is mixed.
 WEIGHTS = (5, 2, 1)
@@ -85,9 +85,13 @@ def draws(goals: DataFrame, shard: int, cells: int = 4096, seed: int = 31) -> Da
     slots = spark.range(total).select("id", F.floor(F.col("id") / shard).alias("shard"), _unit(F.col("id"), F.lit(seed)).alias("u"))
     slots = slots.withColumn("cell", F.floor(F.col("u") * cells))
     drawn = slots.join(cdf, "cell").filter("u >= lo AND u < hi").groupBy("key", "shard").agg(F.count("*").alias("n"))
-    # number the draws of a source over its shards; those past the quota are free, those missing are gaps
-    before = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.join(goals.select("key", "quota"), "key").withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # number the draws of a source over its shards, inside a chunk of shards after the sums of the chunks before;
+    # those past the quota are free, those missing are gaps
+    drawn = drawn.withColumn("chunk", F.floor(F.col("shard") / cells))
+    ahead, inside = (Window.partitionBy(*by).orderBy(on).rowsBetween(Window.unboundedPreceding, -1) for by, on in ((["key"], "chunk"), (["key", "chunk"], "shard")))
+    chunks = drawn.groupBy("key", "chunk").agg(F.sum("n").alias("own")).select("key", "chunk", F.coalesce(F.sum("own").over(ahead), F.lit(0)).alias("base"))
+    drawn = drawn.withColumn("in", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(chunks, ["key", "chunk"])
+    drawn = drawn.join(goals.select("key", "quota"), "key").withColumn("at", F.col("base") + F.col("in"))
     fit = F.greatest(F.least(F.col("n"), F.col("quota") - F.col("at")), F.lit(0))
     drawn = drawn.withColumn("fit", fit)
     missing = goals.select("key", "quota").join(drawn.groupBy("key").agg(F.sum("fit").alias("fit")), "key", "left")
@@ -187,10 +191,11 @@ def mixed(docs: DataFrame, block: int = 32, shard: int = 4096, chunks: int = 102
     parts = parts.select(F.col("__id").alias("__d"), F.col("__th").alias("__h"), F.col("__key").alias("__k"), F.col("copy").alias("__c"), "size", "taken", "parts")
     own_key = F.xxhash64(F.coalesce(docs["source"].cast("string"), F.lit("")), docs["source"].isNull())
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["doc_id"].alias("__id"), F.xxhash64(docs["text"]).alias("__th"), own_key.alias("__sk"))
-    own = own.withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__th", "__sk").orderBy(F.lit(0))))
+    plain = [F.col("__row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    own = own.withColumn("__copy", F.row_number().over(Window.partitionBy("__id", "__th", "__sk").orderBy(F.xxhash64(*plain))))
     both = own.join(parts, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")) & (F.col("__sk") == F.col("__k")) & (F.col("__copy") == F.col("__c")), "left")
     text = F.col("__row.text")
-    cut = F.concat_ws(" ", F.transform("parts", lambda p: F.concat_ws(" ", F.slice(words(text), (p["skip"] + 1).cast("int"), p["n"].cast("int")))))
+    cut = let(words(text), lambda w: F.concat_ws(" ", F.transform("parts", lambda p: F.concat_ws(" ", F.slice(w, (p["skip"] + 1).cast("int"), p["n"].cast("int"))))))
     new_text = F.when(F.col("parts").isNull() | (F.col("taken") == F.col("size")), text).otherwise(cut)
     empty = F.length(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")) == 0
     both = both.filter(F.col("parts").isNotNull() | empty).withColumn("__text", new_text)
