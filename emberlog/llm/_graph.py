@@ -11,10 +11,12 @@ from ._common import dropped, stored
 def _toward_least(both: DataFrame) -> DataFrame:
     """(u, v, m): every directed edge with the least vertex of u's closed neighbourhood.
 
-    The minimum is a partial aggregate, and a hub's edges meet it in a join that adaptive execution can
-    split, so that no task gathers a hub's neighbours.
+    The minimum is a partial aggregate: of a hub's edges one row for each task goes on. The result is dealt out
+    anew before it meets the edges; so the join is of two exchanged sides, of which adaptive execution splits a
+    hub's. Without that the minimum would be taken in the join's own stage, which can't be split.
     """
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).repartition(parts)
     return both.join(least, "u")
 
 
