@@ -1,6 +1,7 @@
 """The training-data operators on small tables: brute force, round trips, edge cases."""
 
 import collections
+import dataclasses
 import itertools
 import math
 import random
@@ -68,6 +69,57 @@ def test_toxicity_learns_and_takes_any_text(spark, docs):
     assert one == pytest.approx(many, abs=1e-6)
 
 
+def test_toxicity_is_the_convolution(spark):
+    """Scores against the definition, filter by filter and place by place; long texts in slices of a few words too."""
+    train, labels = toy_labels(spark)
+    model = toxicity.trained(train, labels)
+    p, rng = model.params, random.Random(17)
+    texts = [None, "", "x", "dreadful", *(" ".join(rng.choices([*WORDS, "Awful,", "the", "de"], k=rng.randint(1, 60))) for _ in range(20))]
+    bare = lambda w: w.strip(b".,;:!?\"'()#*$%&|<>") or w
+    guess = {w.encode(): k for k, ws in enumerate(toxicity.FUNCTION_WORDS.values()) for w in ws}
+
+    def brute(t):
+        words = bwords(t)
+        rows = [model.taps[zlib.crc32(bare(w)) % p.buckets] + model.taps[p.buckets + zlib.crc32(b"^" + bare(w)[:5]) % p.buckets] for w in words]
+        act, at = [], 0
+        for width in p.widths:
+            for f in range(p.filters):
+                places = [sum(rows[k - width + 1 + j][at + j * p.filters + f] for j in range(width) if k - width + 1 + j >= 0) for k in range(len(rows))]
+                act.append(max(0.0, max(places, default=0.0) + model.bias[(len(act) // p.filters) * p.filters + f]))
+            at += width * p.filters
+        hits = collections.Counter(guess[bare(w)] for w in words if bare(w) in guess)
+        lang = min(hits, key=lambda k: (-hits[k], k)) if hits else len(toxicity.LANGS)
+        return 1 / (1 + math.exp(-(float(np.dot(act, model.out)) + model.out_bias - model.thresholds[lang])))
+
+    want = [brute(t) for t in texts]
+    for size in (1 << 17, 1, 40):
+        small = toxicity.Model(dataclasses.replace(p, slice_bytes=size, cached_words=10), *(getattr(model, f.name) for f in dataclasses.fields(model)[1:]))
+        assert next(toxicity.score_texts(small, iter([texts])))[0] == pytest.approx(want, abs=1e-5)
+
+
+def test_toxicity_of_a_very_long_text_takes_little_memory(spark):
+    import tracemalloc
+
+    train, labels = toy_labels(spark, 60)
+    model = toxicity.trained(train, labels)
+    text = (" ".join(random.Random(18).choices([a + b for a in WORDS for b in WORDS], k=20_000)) + " ").encode() * 50  # a million words
+    tracemalloc.start()
+    score = next(toxicity.score_texts(model, iter([[text]])))[0][0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 <= score <= 1 and peak < 120e6
+
+
+def test_toxicity_sample_is_bounded_by_words(spark):
+    train, labels = toy_labels(spark)
+    every = toxicity.sample(train, labels, toxicity.Params())
+    some = toxicity.sample(train.repartition(7), labels, dataclasses.replace(toxicity.Params(), words=1500))
+    again = toxicity.sample(train.coalesce(1), labels, dataclasses.replace(toxicity.Params(), words=1500))
+    size = lambda rows: sum(x.shape[1] for x, _, _ in rows)
+    assert len(every) == 240 and 1400 < size(some) <= 1500 and len(some) == len(again)
+    assert all((a[0] == b[0]).all() and a[1:] == b[1:] for a, b in zip(some, again))
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.trained(docs, spark.createDataFrame([(1, None)], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.score(docs, model).collect()} == {0.0}
@@ -86,6 +138,13 @@ def test_langid(spark, docs):
     odd = {r["row"]["text"]: r["lang_pred"] for r in langid.predict(docs, learned).collect()}
     assert odd[None] == odd[""] == odd[" \t\n"] == "und" and odd["x"] in learned
     assert langid.learn(df.limit(0), F.lit(True)) == {} and langid.Judge({})("text")[0] == "und"
+    assert langid.predict(docs.limit(0), learned).count() == 0
+    # whole texts only, and no more than the bound; equal sizes go to the language that sorts first
+    whole = {langid.normal(r["text"]) for r in df.collect()}
+    small = langid.learn(df, F.col("doc_id") < 30, most=500)
+    assert all(0 < len(raw) <= 500 and any(raw.startswith(t) for t in whole) for raw in small.values())
+    assert langid.Judge({"b": b" same ", "a": b" same "} | {"c": b" same "})("same words")[0] == "b"
+    assert [*langid.learn(df.withColumn("lang", F.lit("zz")), F.lit(True))] == ["zz"]
 
 
 # ---- 3
@@ -121,6 +180,15 @@ def test_line_quality(spark, docs):
         assert want in [tuple(g[n] for n in names) for g in got[r["doc_id"]]], (r["doc_id"], want)
 
 
+def test_line_quality_without_ids_and_rows(spark, docs):
+    """A row without an id is no document of a line, and still loses its frequent lines."""
+    rows = [(k, "shared line of words here\n" + f"own {'abcdefgh'[k]} " * 30, None, "a", 0) for k in range(4)] + [(None, "shared line of words here\nrest", None, "a", 0)] * 2
+    df = spark.createDataFrame(rows, DOCS)
+    lost = lambda most: sorted((r["doc_id"] is None, r["n_lost_words"]) for r in line_quality.judge(df, max_docs=most).collect())
+    assert lost(4) == [(False, 0)] * 4 + [(True, 0)] * 2 and lost(3) == [(False, 5)] * 4 + [(True, 5)] * 2
+    assert line_quality.judge(docs.limit(0)).count() == 0 and line_quality.cleaned(docs.limit(0)).columns == docs.columns
+
+
 # ---- 4
 
 
@@ -178,6 +246,8 @@ def test_packing_round_trip(spark, docs):
             counted[d, tuple(x for r in sorted(own, key=lambda r: r["start"]) for x in np.frombuffer(r["ids"], "<u2").tolist())] = 1
     assert all(counted[k] == 1 for k, n in want.items() if n == 1)
     assert sum(len(r["ids"]) // 2 for r in rows) == sum(len(t) * n for (_, t), n in want.items())
+    no_id = [r for r in rows if r["doc_id"] is None]
+    assert sum(len(r["ids"]) // 2 for r in no_id) == len(tok.encode("no id at all here", add_special_tokens=False).ids) + 1
     one = packing.digests(pieces, 2).filter("doc_id = 4").first()
     assert one["ids_crc32"] == zlib.crc32(np.array([*tok.encode("x", add_special_tokens=False).ids, 1], "<u4").tobytes())
     assert packing.pack(docs.limit(0), registry.TOKENIZER).count() == 0

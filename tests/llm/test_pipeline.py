@@ -21,6 +21,44 @@ def test_stages(spark):
     assert {r["doc_id"] for r in out} <= {r["doc_id"] for r in docs.select("doc_id").collect()} and len(out) > 50
 
 
+def odd_tables(spark, folder, rows):
+    """documents with odd rows and columns whose names stages use inside, and labels."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.lit(7).alias(c) for c in ("row", "score", "key", "runs", "name", "size", "n", "t", "copy")))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 0), (2, None), (None, 1), (99, 1)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return docs
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    rng = random.Random(22)
+    text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    same, passage = text(60), text(70)
+    rows = [(0, None), (1, ""), (2, " \n"), (3, "x"), (4, same), (5, same), (5, same), (6, text(30) + " " + passage), (7, passage + " " + text(30)), (8, text(20_000)), (None, same), (None, None)]
+    rows = [(d, t, (None, "en")[k % 2], (None, "a", "b")[k % 3], None if t is None else len(t)) for k, (d, t) in enumerate(rows)]
+    docs = odd_tables(spark, str(tmp_path), rows)
+    at, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns, name
+        at = at.cache()
+        kept[name] = at.collect()
+    assert len(kept["toxicity"]) == len(rows)
+    stay = sorted((r["doc_id"] for r in kept["simhash near-dedup"]), key=str)
+    assert stay == sorted([0, 3, 4, 6, 7, 8, None, None], key=str)  # texts without a word are equal, so the first stays; rows without an id stay
+    text_of = {r["doc_id"]: r["text"] for r in kept["substring dedup"]}
+    assert text_of[6] == rows[7][1] and len(text_of[7].split()) < 60 and text_of[8] == rows[9][1] and text_of[4] == same
+    assert {r["row"] for r in kept["mixing"]} == {7}
+    packed = corpus_pipeline.STAGES[4][1](spark, at, str(tmp_path)).collect()
+    whole = lambda d: sum(r["length"] for r in packed if r["doc_id"] == d)
+    assert whole(8) > 20_000 and {r["doc_id"] for r in packed} == {r["doc_id"] for r in kept["mixing"]}
+
+
+def test_empty_tables(spark, tmp_path):
+    odd_tables(spark, str(tmp_path), [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("name", [*registry.ORACLES])
 def test_sql(spark, name):
     df = registry.QUERIES[name](spark, DATA)
