@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import levels as L
 from ..functions import patterns as P
+from ..functions import timestamps as T
 from ..functions.text import signature, tokens
 from ..operators import anomaly, chains, compact, dedup, detect, enrich, filters, parse, reassemble
 from .eventlog import EV, ORDERS, as_log, ev_log, order_rows, rendered, utc
@@ -403,6 +404,111 @@ for _fmt, (_ts, _message, _meta) in _BACK.items():
     query(f"WITH {ORDERS} SELECT k, {_ts} AS ts_us, CAST(level AS INTEGER) AS level, {_message} AS message, {_meta} AS metadata FROM o", f"parse_{_fmt.replace('-', '_')}")(partial(_round_trip, _fmt))
 
 
+# ---- what the round trips leave open: layouts, prefixes, mixed formats, first lines, hooks and guards
+
+_LAYOUTS = "CASE k % 9 WHEN 1 THEN {t} - 7200000000 + 250000 WHEN 2 THEN {t} + 125000 WHEN 3 THEN {t} + 500000 WHEN 4 THEN {t} + 123456 WHEN 6 THEN {t} + 250000 WHEN 7 THEN {t} + 1000000000000000 WHEN 8 THEN {t} + 1000000000000000 ELSE {t} END"
+
+
+def _in_layouts(rows):
+    """The time of each row in one of nine layouts, the last two epochs moved past 2001."""
+    at = lambda f: F.date_format("ts", f)
+    texts = [
+        at("yyyy-MM-dd'T'HH:mm:ss'Z'"), at("yyyy-MM-dd'T'HH:mm:ss'.250+02:00'"), at("yyyy-MM-dd'T'HH:mm:ss',125'"), at("yyyy-MM-dd HH:mm:ss'.5'"), at("yyyy-MM-dd HH:mm:ss',123456789'"),
+        at("dd/MMM/yyyy:HH:mm:ss' +0000'"), at("MMM d, yyyy '@' HH:mm:ss'.250'"), (F.unix_seconds("ts") + 10**9).cast("string"), ((F.unix_seconds("ts") + 10**9) * 1000).cast("string"),
+    ]
+    out = texts[0]
+    for j, text in enumerate(texts[1:], 1):
+        out = F.when(F.col("k") % 9 == j, text).otherwise(out)
+    return out
+
+
+@query(f"WITH {ORDERS} SELECT k, {_LAYOUTS.format(t='epoch_us(ts)')} AS ts_us FROM o")
+def timestamp_layouts(spark, sf_dir):
+    rows = order_rows(spark, sf_dir)
+    return rows.select("k", _us(T.parse(_in_layouts(rows))).alias("ts_us"))
+
+
+@query(f"WITH {ORDERS} SELECT k, {_LAYOUTS.format(t='epoch_us(ts)')} AS ts_us FROM o WHERE k % 9 <= 5")
+def timestamp_prefix(spark, sf_dir):
+    rows = order_rows(spark, sf_dir).filter("k % 9 <= 5")
+    return rows.select("k", _us(T.parse(T.prefix(F.concat(_in_layouts(rows), F.lit(" ERROR and more"))))).alias("ts_us"))
+
+
+@query(f"WITH {ORDERS} SELECT k, epoch_us(ts) + 250000 AS ts_us, CAST(level AS INTEGER) AS level, {_WORD} || ' ' || message AS message, 'pod/shop' AS resource FROM o")
+def parse_kubernetes_prefixed(spark, sf_dir):
+    rows = order_rows(spark, sf_dir)
+    text = F.concat(F.lit("[pod/shop] "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss',250 '"), rendered("raw_words"))
+    lines = rows.select(F.lit("f").alias("source"), F.lit("kubernetes").alias("format"), F.col("k").alias("line_number"), text.alias("text"))
+    return parse.parse(lines, 1992, ["kubernetes"]).select(F.col("line_number").alias("k"), _us().alias("ts_us"), "level", "message", F.col("metadata")["resource"].alias("resource"))
+
+
+_MIXED = ["json", "logfmt", "clf", "generic", "syslog-rfc5424", "raw"]
+
+
+@query("WITH " + ORDERS + " " + " UNION ALL ".join(f"SELECT k, '{f}' AS format, {_BACK[f][0]} AS ts_us, CAST(level AS INTEGER) AS level, {_BACK[f][1]} AS message FROM o WHERE k % {len(_MIXED)} = {j}" for j, f in enumerate(_MIXED)))
+def parse_mixed_formats(spark, sf_dir):
+    """Lines of six formats in one plan, each through its own parser."""
+    fmt, text = F.lit(_MIXED[0]), rendered(_MIXED[0])
+    for j, f in enumerate(_MIXED[1:], 1):
+        fmt, text = F.when(F.col("k") % len(_MIXED) == j, f).otherwise(fmt), F.when(F.col("k") % len(_MIXED) == j, rendered(f)).otherwise(text)
+    lines = order_rows(spark, sf_dir).select(F.lit("f").alias("source"), fmt.alias("format"), F.col("k").alias("line_number"), text.alias("text"))
+    return parse.parse(lines, 1992, _MIXED).select(F.col("line_number").alias("k"), "format", _us().alias("ts_us"), "level", "message")
+
+
+@query("SELECT o_orderkey AS k, o_orderkey % 24 < 12 OR o_orderkey % 12 IN (2, 11) AS starts FROM orders")
+def line_starts(spark, sf_dir):
+    """Whether a line, one of the format or the middle of a stack trace, begins an entry in its format."""
+    fmt, text = F.lit(_FORMATS[0]), rendered(_FORMATS[0])
+    for j, f in enumerate(_FORMATS[1:], 1):
+        fmt, text = F.when(F.col("k") % 12 == j, f).otherwise(fmt), F.when(F.col("k") % 12 == j, rendered(f)).otherwise(text)
+    # a line of logfmt begins an entry with three pairs
+    text = F.when(F.col("k") % 24 >= 12, "    at some.place(File.java:1)").otherwise(text)
+    return order_rows(spark, sf_dir).select("k", reassemble.starts_entry(text, fmt).alias("starts"))
+
+
+@query("SELECT o_orderkey AS k, o_orderkey % 3 <> 1 AS is_header FROM orders")
+def csv_header_lines(spark, sf_dir):
+    text = F.when(F.col("k") % 3 == 0, "timestamp,level,message").when(F.col("k") % 3 == 1, F.concat(F.lit("time,x,"), "customer")).otherwise(' "Host" , TS,"a ""b"""')
+    return order_rows(spark, sf_dir).select("k", detect.is_csv_header(text).alias("is_header"))
+
+
+@query("SELECT * FROM (VALUES ('/a/x.tar.gz:in/one.csv', 'csv'), ('/a/two.CSV', 'csv'), ('/a/three.log', 'generic'), ('/a/four', 'raw')) v(source, format)")
+def format_by_extension(spark, sf_dir):
+    k = F.col("k") % 4
+    source = F.when(k == 0, "/a/x.tar.gz:in/one.csv").when(k == 1, "/a/two.CSV").when(k == 2, "/a/three.log").otherwise("/a/four")
+    return detect.source_formats(order_rows(spark, sf_dir).select(source.alias("source"), F.col("k").alias("line_number"), F.when(k == 2, rendered("generic")).otherwise(rendered("raw")).alias("text")))
+
+
+@query(f"""WITH {EV} SELECT CASE WHEN NOT (level = 0 OR level >= 4) THEN 'level' WHEN line_number % 2 = 1 THEN 'even' ELSE 'kept' END AS reason, count(*) AS n FROM ev GROUP BY 1""")
+def custom_filter(spark, sf_dir):
+    """A caller's own filter, charged after the built-in ones."""
+    opts = filters.FilterOptions(extra=[filters.RowFilter("even", lambda df: df["line_number"] % 2 == 0)])
+    return filters.drop_counts(ev_log(spark, sf_dir), opts.filters())
+
+
+@query(f"""WITH {_SIG.replace('FROM ev)', "FROM ev WHERE level >= 5 AND timestamp >= TIMESTAMP '2024-01-10')")}, {_KEPT}, {_SUMS} SELECT signature, occurrence_count, false AS is_dedup_summary FROM r WHERE occurrence_count <= 5
+  UNION ALL SELECT signature, occurrence_count, true FROM m""")
+def auto_window_guard(spark, sf_dir):
+    """A bound given by the caller switches the automatic window off."""
+    from . import analyze
+
+    opts = filters.FilterOptions(min_level=L.ERROR, since=_SINCE, auto_window=True)
+    return analyze.filtered(ev_log(spark, sf_dir), opts).select("signature", "occurrence_count", "is_dedup_summary")
+
+
+@query(f"""WITH {_M}, x AS (SELECT *, TRY_CAST(regexp_extract(message, '{_STATUS}', 1) AS INTEGER) AS s FROM m) SELECT o_orderkey, CASE WHEN s BETWEEN 100 AND 599 THEN s END AS http_status,
+  nullif(regexp_extract(message, '{P.ERROR_TYPE}', 1), '') AS error_type, nullif(regexp_extract(message, '""" + P.TRACE_ID.replace("'", "''") + f"""', 1), '') AS trace_id, regexp_matches(message, '(?i)({'|'.join(P.DEPLOY)})') AS is_deployment FROM x""")
+def enrich_fields(spark, sf_dir):
+    return _said(spark, sf_dir).select("o_orderkey", "http_status", "error_type", "trace_id", "is_deployment")
+
+
+@query(f"WITH {_SIG} SELECT DISTINCT signature FROM s")
+def streaming_first_of_signature(spark, sf_dir):
+    from ..streaming import jobs
+
+    return jobs.drained(jobs.first_of_signature(_event_stream(spark, sf_dir)), "emberlog_first_of_signature").select("signature")
+
+
 # ---- streaming and the whole
 
 @query(f"WITH {EV} SELECT t // 3600000000 * 3600000000 AS start_us, source, level, count(*) AS n FROM ev GROUP BY ALL")

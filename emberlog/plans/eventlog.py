@@ -73,5 +73,6 @@ def rendered(fmt: str):
         "kubernetes": [F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'.000000Z'"), " stderr F ", word, " ", m],
         "generic": [iso, " ", word, " ", m],
         "raw": [word, ": ", m],
+        "raw_words": [word, " ", m],
     }[fmt]
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
