@@ -1,7 +1,9 @@
 """Structured Streaming forms of the batch operators.
 
-Rates, level counts and dedup are windows with a watermark; error chains keep open chains as state of one
-group for each pattern, and a late row cannot revive an expired chain.
+Rates, level counts, dedup and correlation are windows and joins with a watermark; error chains keep open chains as
+state of one group for each pattern, so there are as many groups as patterns. A row that comes after the watermark has
+passed it takes no part, and so cannot revive an expired chain; rows without a timestamp take part in nothing that looks
+at time.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import once, signature
-from ..operators.chains import BUILTIN, Chain, _fits
+from ..operators.chains import BUILTIN, CAP, Chain, _fits
 from ..operators.parse import finished, parsed
 
 
@@ -42,10 +44,28 @@ def first_of_signature(df: DataFrame, late: str = "10 minutes") -> DataFrame:
     return df.withColumn("signature", signature(F.coalesce("message", F.lit("")))).withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["signature"])
 
 
-def chain_events(df: DataFrame, chains: list[Chain] | None = None) -> DataFrame:
-    """(chain, start, end) of chains as they complete.
+def correlated(df: DataFrame, seconds: float = 5.0, late: str = "10 minutes") -> DataFrame:
+    """(timestamp, source, line_number, other): each other source that has a row up to ``seconds`` before a row, or at its time if it sorts first.
 
-    State is the open chains' next stages and starts, for each pattern, and the newest time seen.
+    A join of the stream with itself on time buckets as wide as the window, in which a row meets those of its own
+    and of the bucket before; what the watermark has passed leaves the state. Each pair comes once.
+    """
+    width = max(int(seconds * 1_000_000), 1)
+    rows = df.filter("timestamp IS NOT NULL").withWatermark("timestamp", late).select("timestamp", "source", "line_number")
+    bucket = F.floor(F.unix_micros("timestamp") / width)
+    before = df.filter("timestamp IS NOT NULL").select(F.col("timestamp").alias("other_time"), F.col("source").alias("other")).withWatermark("other_time", late)
+    at = F.floor(F.unix_micros("other_time") / width)
+    before = before.withColumn("__b", F.explode(F.array(at, at + 1)))
+    near = f"__a = __b AND other <> source AND other_time >= timestamp - INTERVAL {width} MICROSECONDS AND other_time <= timestamp AND (other_time < timestamp OR other < source)"
+    pairs = rows.withColumn("__a", bucket).join(before, F.expr(near)).select("timestamp", "source", "line_number", "other")
+    return pairs.dropDuplicatesWithinWatermark(["source", "line_number", "other"])
+
+
+def chain_events(df: DataFrame, chains: list[Chain] | None = None, cap: int = CAP) -> DataFrame:
+    """(chain_id, chain, start_us, end_us) of chains as they complete, numbered within their pattern in order of starts.
+
+    State is the next stage, start and number of each chain that hasn't expired (at most ``cap`` for a pattern,
+    completed ones included), the newest time seen and the last number.
     """
     chains = chains or BUILTIN
     hit = F.explode(F.array_compact(F.array(*(F.when(_fits(s), F.struct(F.lit(c).alias("chain"), F.lit(k).alias("stage"))) for c, x in enumerate(chains) for k, s in enumerate(x.stages)))))
@@ -57,7 +77,7 @@ def chain_events(df: DataFrame, chains: list[Chain] | None = None) -> DataFrame:
         import pandas as pd
 
         chain, width = int(key[0]), widths[int(key[0])]
-        newest, alive = json.loads(state.get[0]) if state.exists else [0, []]
+        newest, number, alive = json.loads(state.get[0]) if state.exists else [0, 0, []]
         pdf = pd.concat([*batches]).sort_values(["t", "stage"], kind="stable")
         done = []
         for t, own in pdf.groupby("t", sort=True):
@@ -68,14 +88,14 @@ def chain_events(df: DataFrame, chains: list[Chain] | None = None) -> DataFrame:
                 if a[0] in stages:
                     a[0] += 1
                     if a[0] == 3:
-                        done.append((names[chain], a[1], t))
-            alive = [a for a in alive if a[0] < 3]
-            if 0 in stages:
-                alive.append([1, t])
-        state.update((json.dumps([newest, alive]),))
-        yield pd.DataFrame(done, columns=["chain", "start_us", "end_us"])
-
-    return rows.groupBy("chain").applyInPandasWithState(step, "chain string, start_us long, end_us long", "state string", "append", "NoTimeout")
+                        done.append((f"{names[chain]}-{a[2]}", names[chain], a[1], t))
+            if 0 in stages and len(alive) < cap:
+                number += 1
+                alive.append([1, t, number])
+        state.update((json.dumps([newest, number, alive]),))
+        yield pd.DataFrame(done, columns=["chain_id", "chain", "start_us", "end_us"])
+
+    return rows.groupBy("chain").applyInPandasWithState(step, "chain_id string, chain string, start_us long, end_us long", "state string", "append", "NoTimeout")
 
 
 def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:

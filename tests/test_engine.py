@@ -268,11 +268,33 @@ def test_streaming(spark, tmp_path):
     rows = jobs.entries(jobs.lines(spark, str(tmp_path)), "generic", 2024)
     assert jobs.drained(jobs.window_counts(rows), "t_counts", "complete").agg(F.sum("n")).first()[0] == 5
     assert jobs.drained(jobs.first_of_signature(rows), "t_first").count() == 4
-    assert [r["chain"] for r in jobs.drained(jobs.chain_events(rows), "t_chains").collect()] == ["db-connection-exhaustion"]
+    assert [r["chain_id"] for r in jobs.drained(jobs.chain_events(rows), "t_chains").collect()] == ["db-connection-exhaustion-1"]
+    assert jobs.drained(jobs.chain_events(rows, cap=0), "t_no_chains").count() == 0
     with pytest.raises(ValueError):
         jobs.entries(rows, "csv", 2024)
 
 
+def test_streaming_correlation_and_late_rows(spark, tmp_path):
+    from emberlog.streaming import jobs
+
+    schema = "timestamp timestamp, source string, line_number long"
+    at = lambda rows: spark.createDataFrame([(datetime.fromtimestamp(1704164645 + t, timezone.utc), s, n) for t, s, n in rows], schema)
+    parts = [[(0, "a", 1), (3, "b", 2), (3, "a", 3), (20, "c", 4)], [(7, "c", 5), (5000, "a", 6)], [(2, "d", 7), (5001, "d", 8)]]
+    for k, rows in enumerate(parts):
+        at(rows).coalesce(1).write.json(str(tmp_path / f"in{k}"))
+    out, place = [], str(tmp_path / "state")
+    for k in range(len(parts)):  # one folder for each run, so that the watermark moves between them
+        folder = tmp_path / "feed"
+        folder.mkdir(exist_ok=True)
+        for f in (tmp_path / f"in{k}").glob("part-*.json"):
+            f.rename(folder / f"{k}-{f.name}")
+        stream = spark.readStream.schema(schema).json(str(folder))
+        jobs.correlated(stream, 5).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    out = {(r["line_number"], r["other"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # row 7 comes when the watermark is past it
+    assert out == {(2, "a"), (5, "a"), (5, "b"), (8, "a")}
+
+
 def test_config(tmp_path):
     assert duration("1h30m").total_seconds() == 5400
     now = datetime(2024, 1, 2, tzinfo=timezone.utc)
