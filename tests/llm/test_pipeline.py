@@ -4,11 +4,12 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from emberlog.llm import near_dup, registry
+from emberlog.llm import ann, near_dup, registry, sql
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -70,6 +71,37 @@ def test_sql(spark, name):
     assert sorted(map(str, got.fetchall())) == sorted(str(tuple(r)) for r in df.select(*names).collect())
 
 
+@pytest.mark.parametrize("name", [*sql.PARTS])
+def test_sql_of_some_columns(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    got = c.execute(sql.PARTS[name])
+    names = [d[0] for d in got.description]
+    df = registry.QUERIES[name](spark, DATA)
+    df = df.withColumn("target", F.round("target", 3)) if "target" in names else df
+    assert sorted(map(str, got.fetchall())) == sorted(str(tuple(r)) for r in df.select(*names).collect())
+
+
+def test_ann_recall_at_every_twentieth(spark):
+    """Queries are all ids divisible by 20, the truth is exact, and leaves are small enough that there are many."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    every = {r["vec_id"]: np.array(r["embedding"], dtype=np.float64) for r in rows.collect() if r["embedding"] is not None}
+    every = {k: v for k, v in every.items() if np.isfinite(v).all() and v.any()}
+    ids = np.array(sorted(every))
+    v = np.stack([every[k] for k in ids])
+    got = {}
+    for r in ann.search(rows, F.col("vec_id") % 20 == 0, leaf=64).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    queries = [k for k in ids if k % 20 == 0]
+    hits = 0
+    for q in queries:
+        d = np.sqrt(((v - every[q]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        hits += len(got[q] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
+    assert set(got) == {*queries} and hits >= 0.9 * 10 * len(queries)
+
+
 def _shingles(text):
     w = text.split()
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
