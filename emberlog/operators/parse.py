@@ -34,20 +34,16 @@ def _pairs(**columns: Column) -> Column:
     return F.map_filter(every, lambda k, v: F.coalesce(v != "", F.lit(False)))
 
 
-def _picked(m: Column, keys: list[str]) -> tuple[Column, Column]:
-    """(value, key) of the first of ``keys`` that is present."""
-    value, key = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k in reversed(keys):
-        there = F.map_contains_key(m, k)
-        value, key = F.when(there, F.try_element_at(m, F.lit(k))).otherwise(value), F.when(there, F.lit(k)).otherwise(key)
-    return value, key
+def _from_map(m: Column) -> Column:
+    """Common fields out of a map, each by the first of its keys that is present; what is left is metadata."""
+    present = lambda keys: F.get(F.filter(F.array(*map(F.lit, keys)), lambda k: F.map_contains_key(m, k)), F.lit(0))
 
+    def entry(taken):
+        ts, level, message = (F.try_element_at(m, F.get(taken, F.lit(k))) for k in range(3))
+        rest = F.map_filter(m, lambda k, _: ~F.coalesce(F.array_contains(taken, k), F.lit(False)))
+        return let(rest, lambda left: _entry(ts, level, L.UNKNOWN, F.coalesce(message, F.lit("")), F.when(F.size(left) > 0, left)))
 
-def _from_map(m: Column) -> Column:
-    """Common fields out of a map; what is left is metadata."""
-    (ts, ts_key), (level, level_key), (message, message_key) = (_picked(m, k) for k in (TIME_KEYS, LEVEL_KEYS, MESSAGE_KEYS))
-    rest = F.map_filter(m, lambda k, _: ~(k.eqNullSafe(ts_key) | k.eqNullSafe(level_key) | k.eqNullSafe(message_key)))
-    return F.when(m.isNotNull(), _entry(ts, level, L.UNKNOWN, F.coalesce(message, F.lit("")), F.when(F.size(rest) > 0, rest)))
+    return F.when(m.isNotNull(), let(F.array(present(TIME_KEYS), present(LEVEL_KEYS), present(MESSAGE_KEYS)), entry))
 
 
 def _word(message: Column, colon: bool = True) -> Column:
