@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import let
+from ..functions.text import MARK, let
 
 FORMATS = ["json", "docker-json", "cloudwatch", "kubernetes", "syslog-rfc5424", "syslog-rfc3164", "clf", "csv", "logfmt", "docker-compose", "generic", "raw"]
 
@@ -30,11 +30,12 @@ def json_map(text: Column) -> Column:
 
 def csv_fields(text: Column) -> Column:
     """Fields of one CSV line: quoted ones unquoted with doubled quotes made single, others as they are."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(r',([ \t]*"(?:[^"]|"")*"[^,]*|[^,]*)'), F.lit(1))
+    raw = F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(r',([ \t]*"[^"]*(?:""[^"]*)*"[^,]*|[^,]*)'), F.lit(1))
 
     def bare(x):
-        q = F.regexp_extract(x, r'(?s)^[ \t]*"((?:[^"]|"")*)"', 1)
-        return F.when(x.contains('"') & x.rlike(r'(?s)^[ \t]*"(?:[^"]|"")*"'), F.replace(q, F.lit('""'), F.lit('"'))).otherwise(x)
+        inside = F.regexp_replace(x, r'(?s)^[ \t]*"([^"]*(?:""[^"]*)*)".*\z', f"{MARK}$1")
+        unquoted = let(inside, lambda y: F.when(y.startswith(MARK), F.replace(F.substr(y, F.lit(2)), F.lit('""'), F.lit('"'))).otherwise(x))
+        return F.when(x.contains('"'), unquoted).otherwise(x)
 
     return F.transform(raw, bare)
 
