@@ -1,16 +1,17 @@
 """Quality rules with cross-document line frequency, native DataFrame expressions only.
 
-Base figures are computed inside each row with higher-order functions (nothing is shuffled for them).
-Then every document's distinct normalised lines are hashed, distinct documents are counted for each
-(host, line), lines above ``max_docs`` are removed, and documents that lose too much are rejected.
+One scan computes each row's base figures with higher-order functions and the hashes and sizes of its normalised
+lines, and writes them to the shared folder; everything else reads that small table. Then distinct documents are
+counted for each (host, line), lines above ``max_docs`` are removed, and documents that lose too much are rejected.
 
 The count is a two-level aggregate: the first level is keyed by (line, document), so a line that sits
 in a third of all documents is spread over all tasks and reaches the second level as one partial count
-for each task. Marking the frequent lines is an equi-join whose hot rows are salted by document.
+for each task. Marking the frequent lines is an equi-join whose hot rows are salted by document; both its sides are
+exchanged for it, so that adaptive execution splits what a salt doesn't.
 
 Defined results: null text counts as no words and fails the base rule; repeated rows of one doc_id count
-as one document of its host; a null host is a host of its own; a document without a countable line
-loses nothing.
+as one document of its host, and rows without a doc_id as none, but they lose their lines like others; a null host
+is a host of its own; a document without a countable line loses nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_CHARS, SPACES, let, words
+from ._common import SPACE_CHARS, SPACES, let, stored, words
 
 #: The symbols that the base rule counts.
 SYMBOLS = "#*$%&|<>"
@@ -63,37 +64,28 @@ def normal_lines(text: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def frequent_lines(docs: DataFrame, host: str, max_docs: int) -> DataFrame:
-    """(line) keys, hashed with their host, that more than ``max_docs`` distinct documents hold."""
-    rows = docs.select("doc_id", F.explode(F.array_distinct(_keys(docs, host))).alias("line"))
-    return rows.groupBy("line", "doc_id").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs).select("line")
+def lines_of(docs: DataFrame, host: str) -> Column:
+    """(line, n) for each line, in order, repeats included: a 64-bit key of (host, line), and its words."""
+    own, null = F.coalesce(docs[host], F.lit("")), docs[host].isNull()
+    return F.transform(normal_lines(docs["text"]), lambda x: F.struct(F.xxhash64(own, null, x).alias("line"), F.size(F.split(x, " ")).alias("n")))
 
 
-def _keys(docs: DataFrame, host: str) -> Column:
-    """A 64-bit key of (host, line) for each line, in order, repeats included."""
-    own = F.coalesce(docs[host], F.lit(""))
-    return F.transform(normal_lines(docs["text"]), lambda x: F.xxhash64(own, docs[host].isNull(), x))
+def frequent_lines(rows: DataFrame, max_docs: int) -> DataFrame:
+    """(line) keys that more than ``max_docs`` distinct documents hold, of rows (doc_id, lines)."""
+    held = rows.filter("doc_id IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"))
+    return held.groupBy("line", "doc_id").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs).select("line")
 
 
-def _row_key(docs: DataFrame, host: str) -> Column:
-    """Names a row by all that its figures depend on."""
-    return F.xxhash64("doc_id", docs["doc_id"].isNull(), "text", docs["text"].isNull(), F.coalesce(docs[host], F.lit("")), docs[host].isNull())
+def _salted(common: DataFrame, salts: int) -> DataFrame:
+    """The merge join is asked for at every size: the frequent lines have no bound that would allow a broadcast."""
+    return common.select("line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).hint("merge")
 
 
-def line_loss(docs: DataFrame, host: str = "source", max_docs: int = 20, salts: int = 32) -> DataFrame:
-    """(row_key, lost): words of a row's lines that the frequency limit removes, for rows that lose any.
-
-    A line's words go through one shuffle, salted by row, and only those of frequent lines go on. The merge
-    join is asked for at every size: the frequent lines have no bound that would allow a broadcast.
-    """
-    common = frequent_lines(docs, host, max_docs).select("line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    counted = F.transform(normal_lines(docs["text"]), lambda x: F.size(F.split(x, " ")))
-    pairs = F.arrays_zip(_keys(docs, host).alias("line"), counted.alias("n"))
-    rows = docs.select(_row_key(docs, host).alias("row_key"), F.monotonically_increasing_id().alias("copy"), pairs.alias("lines"))
-    rows = rows.select("row_key", "copy", F.explode("lines").alias("x")).select("row_key", "copy", F.col("x.line").alias("line"), F.col("x.n").alias("n"), F.pmod("row_key", F.lit(salts)).cast("int").alias("salt"))
-    lost = rows.join(common.hint("merge"), ["line", "salt"], "left_semi")
-    # rows that are alike in everything lose the same: their sums are equal, and one is taken
-    return lost.groupBy("row_key", "copy").agg(F.sum("n").alias("n")).groupBy("row_key").agg(F.max("n").alias("lost"))
+def line_loss(rows: DataFrame, max_docs: int = 20, salts: int = 32) -> DataFrame:
+    """(id, lost): words of a row's lines that the frequency limit removes, for rows (id, doc_id, lines) that lose any."""
+    every = rows.select("id", F.explode("lines").alias("x")).select("id", "x.line", "x.n", F.pmod("id", F.lit(salts)).cast("int").alias("salt"))
+    lost = every.join(_salted(frequent_lines(rows, max_docs), salts), ["line", "salt"], "left_semi")
+    return lost.groupBy("id").agg(F.sum("n").alias("lost"))
 
 
 def judge(docs: DataFrame, host: str = "source", max_docs: int = 20, most_lost: float = 0.5, salts: int = 32) -> DataFrame:
@@ -103,8 +95,9 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = 20, most_lost:
     and no more than ``most_lost`` of the words removed by the line limit.
     """
     own = docs.select(docs["doc_id"], docs["text"], docs[host].alias("source"))
-    figures = own.select("doc_id", _row_key(own, "source").alias("row_key"), *base_figures(own))
-    out = figures.join(line_loss(own, "source", max_docs, salts), "row_key", "left")
+    rows = own.select(F.monotonically_increasing_id().alias("id"), "doc_id", lines_of(own, "source").alias("lines"), *base_figures(own))
+    rows = stored(rows, "lines")  # ids stay as written
+    out = rows.drop("lines").join(line_loss(rows, max_docs, salts), "id", "left")
     n, rep = F.col("__w.n_words"), F.col("__w.n_repeat_words")
     failed = (n < 50) | (100 * rep > 50 * n)
     lost_n = F.coalesce(F.col("lost"), F.lit(0)).cast("long")
@@ -113,12 +106,11 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = 20, most_lost:
 
 def cleaned(docs: DataFrame, host: str = "source", max_docs: int = 20, salts: int = 32) -> DataFrame:
     """``docs`` without the lines above the limit; blank lines stay, and a text that loses nothing stays as it is."""
-    common = frequent_lines(docs, host, max_docs).select("line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    rows = docs.select(_row_key(docs, host).alias("__key"), F.explode(F.array_distinct(_keys(docs, host))).alias("line"))
-    rows = rows.withColumn("salt", F.pmod("__key", F.lit(salts)).cast("int"))
-    lost = rows.join(common.hint("merge"), ["line", "salt"], "left_semi").groupBy("__key").agg(F.collect_set("line").alias("__lost"))
-    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), _row_key(docs, host).alias("__own"))
-    both = own.join(lost, F.col("__own") == F.col("__key"), "left")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs["doc_id"], lines_of(docs, host).alias("lines"), F.monotonically_increasing_id().alias("id"))
+    own = stored(own, "lines")
+    every = own.select("id", F.explode(F.array_distinct(F.col("lines.line"))).alias("line"), F.pmod("id", F.lit(salts)).cast("int").alias("salt"))
+    lost = every.join(_salted(frequent_lines(own, max_docs), salts), ["line", "salt"], "left_semi").groupBy("id").agg(F.collect_set("line").alias("__lost"))
+    both = own.select("id", "__row").join(lost, "id", "left")
     name = F.coalesce(F.col("__row")[host], F.lit(""))
     normal = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"\p{Nd}+", "0"), SPACES, " "))
     stays = lambda x: (normal(x) == "") | ~F.array_contains("__lost", F.xxhash64(name, F.col("__row")[host].isNull(), normal(x)))
