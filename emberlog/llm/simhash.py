@@ -1,15 +1,18 @@
 """SimHash near-duplicates: fingerprints, pigeonhole blocks, verified links, components.
 
 Fingerprints are computed once for each text. Equal fingerprints collapse to one vertex before any pair
-is looked at, so groups of copies cost nothing. The 64 bits are cut into ``most + 2`` blocks; two
-fingerprints that differ in at most ``most`` bits agree on at least two whole blocks, so each is filed
-under every pair of blocks (15 keys of about 21 bits for 4 bits), which keeps unrelated neighbours rare.
+is looked at, so groups of copies cost nothing. The 64 bits are cut into ``most + extra`` blocks; two
+fingerprints that differ in at most ``most`` bits agree on at least ``extra`` whole blocks, so each is filed
+under every choice of ``extra`` blocks, which keeps unrelated neighbours rare: 15 keys of about 21 bits for 4 bits
+of distance and up to 20 million fingerprints, 35 of 27 bits up to a billion, 70 of 32 bits above.
 Within a key the distances are verified. Small buckets compare all pairs; in larger ones centres link
 their whole ball first, then only members of different clusters are compared, one link for each pair of
-clusters: linear for a group of near copies, and never a pair list. Links feed connected components.
+clusters: linear for a group of near copies, and never a pair list. Links feed connected components, whose vertices
+go by their least doc_id, so that a component's root is its name and no component is gathered for it.
 
-A bucket's distinct fingerprints stream through one task at 8 bytes each; a ball of radius 4 has at most
-679,121 of them, however many documents carry them.
+A bucket's distinct fingerprints stream through one task at 8 bytes each. The length of the keys follows the number of
+fingerprints, so that a bucket holds few that are unrelated; one in which many share a key without being close
+would take time by the square of their number.
 
 Defined results: a text of fewer than ``width`` words is one shingle; without a word the fingerprint is
 zero and links like any other; a null doc_id never is a component's name unless nothing else is there;
@@ -18,13 +21,16 @@ repeated rows give repeated rows.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import log2
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import byte_words, small_batches, stored
+from ._common import byte_words, lean, small_batches, stored
 from ._graph import components
 
 
@@ -57,18 +63,25 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], ["doc_id", "fp"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(lean(run), "doc_id long, fp long")
+
+
+def extra_blocks(n: int, most: int = 4) -> int:
+    """How many blocks a key should take, that ``n`` fingerprints put about eight unrelated ones under a key at most."""
+    return next(k for k in range(2, 64) if 64 * k / (most + k) + 3 >= log2(max(n, 1)) or most + k == 64)
 
 
-def block_keys(fp, most: int = 4):
-    """One key for each pair of the ``most + 2`` blocks."""
-    n = most + 2
+def block_keys(fp, most: int = 4, extra: int = 2):
+    """One key for each choice of ``extra`` of the ``most + extra`` blocks."""
+    n = most + extra
     edges = [64 * k // n for k in range(n + 1)]
     keys = []
-    for i in range(n):
-        for j in range(i + 1, n):
-            parts = [F.shiftrightunsigned(fp, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) for k in (i, j)]
-            keys.append(F.lit((i * n + j) << 40) + F.shiftleft(parts[0], 20) + parts[1])
+    for which, chosen in enumerate(combinations(range(n), extra)):
+        key = F.lit(which).cast("long")
+        for k in chosen:
+            wide = edges[k + 1] - edges[k]
+            key = F.shiftleft(key, wide) + F.shiftrightunsigned(fp, edges[k]).bitwiseAND(F.lit((1 << wide) - 1))
+        keys.append(key)
     return F.array(*keys)
 
 
@@ -102,10 +115,11 @@ def bucket_links(fps: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarra
     return links
 
 
-def links(fps: DataFrame, most: int = 4, small: int = 32) -> DataFrame:
+def links(fps: DataFrame, most: int = 4, small: int = 32, extra: int | None = None) -> DataFrame:
     """(a, b): verified links between distinct fingerprints ``fp``; enough to join all that are close."""
     small_batches(fps.sparkSession)
-    filed = fps.select("fp", F.explode(block_keys(F.col("fp"), most)).alias("key"))
+    extra = extra or extra_blocks(fps.count(), most)
+    filed = fps.select("fp", F.explode(block_keys(F.col("fp"), most, extra)).alias("key"))
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filed = filed.repartition(parts, "key").sortWithinPartitions("key", "fp").select("key", "fp")
 
@@ -141,18 +155,22 @@ def links(fps: DataFrame, most: int = 4, small: int = 32) -> DataFrame:
         if held:
             yield emit(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
 
-    return filed.mapInArrow(run, "a long, b long").distinct()
+    return filed.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, width: int = 4, most: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the least doc_id of its component."""
     own = stored(fingerprints(docs, width), "fingerprints")
     least = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(least.select("fp"), most))
-    named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(best, "root").select("fp", "component_id")
-    return own.join(by_fp, "fp").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # vertices go by their least doc_id; those of rows without one get names past all doc_ids
+    last = own.agg(F.max("doc_id")).first()[0] or 0
+    vertices = stored(least.select("fp", F.coalesce("least", F.monotonically_increasing_id() + F.lit(last + 1)).alias("name")), "vertices")
+    pairs = links(vertices.select("fp"), most)
+    for side in ("a", "b"):
+        pairs = pairs.join(vertices.select(F.col("fp").alias(side), F.col("name").alias(f"{side}_name")), side)
+    roots = components(pairs.select(F.col("a_name").alias("a"), F.col("b_name").alias("b")))
+    named = vertices.join(roots, vertices["name"] == roots["node"], "left").select("fp", F.coalesce("root", "name").alias("root"))
+    return own.join(named, "fp").select("doc_id", "fp", F.when(F.col("root") <= last, F.col("root")).alias("component_id"))
 
 
 def kept(docs: DataFrame, width: int = 4, most: int = 4) -> DataFrame:
