@@ -411,7 +411,7 @@ def test_url_verdicts_are_naive_bayes(spark):
             assert r["verdict"] == (label[k] or ("block" if r["log_odds"] >= math.log(4) else "allow"))
         verdicts[bool(listed)] = {k: r["verdict"] for k, r in got.items()}
     # the list moves no more than urls at the very limit, as training holds its words
-    assert sum(v != verdicts[False][k] for k, v in verdicts[True].items()) <= 4 and 20 < sum(v == "block" and label[k] is None for k, v in verdicts[True].items())
+    assert sum(v != verdicts[False][k] for k, v in verdicts[True].items()) <= 4 and 10 < sum(v == "block" and label[k] is None for k, v in verdicts[True].items())
 
 
 # ---- 7
