@@ -50,15 +50,16 @@ def hits(df: DataFrame, chains: list[Chain], key: list[str]) -> DataFrame:
     return rows.select("hit.chain", "hit.stage", "t", *key)
 
 
-def matched(df: DataFrame, chains: list[Chain] | None = None, key: list[str] | None = None, cap: int = CAP) -> DataFrame:
+def matched(df: DataFrame, chains: list[Chain] | None = None, key: list[str] | None = None, cap: int | None = CAP) -> DataFrame:
     """(key columns, chain_id): the rows of ``df`` that belong to a chain.
 
     A row's chain is the last that it completes, else the first that it advances, else the first that it
-    opens. Chains are numbered in order of their starts, over all patterns.
+    opens. Chains are numbered in order of their starts, over all patterns. A ``cap`` of None leaves the
+    number of open chains unbounded.
     """
     chains, key = chains or BUILTIN, key or ["source", "line_number"]
     found = hits(df, chains, key)
-    full = _full(found, chains, cap)
+    full = [] if cap is None else _full(found, chains, cap)
     rest = found.filter(~F.col("chain").isin(full)) if full else found
     starts = closed_form(rest, chains, key)
     if full:
@@ -89,9 +90,9 @@ def closed_form(found: DataFrame, chains: list[Chain], key: list[str]) -> DataFr
     # chains that start there are expired by the first row with a time.
     rows = rows.withColumn("slot", F.coalesce(F.floor(F.col("at.t") / F.col("width")), F.lit(-1)))
     both = rows.withColumn("own", F.lit(True)).union(rows.filter("slot > 0").withColumn("slot", F.col("slot") - 1).withColumn("own", F.lit(False)))
-    # hits of one row share its place, and only strictly later places count
+    # hits of one row share its place, and only strictly later places count; backwards, as Spark carries a frame on from its start but not from its end
     ranked = both.withColumn("no", F.dense_rank().over(Window.partitionBy("chain", "slot").orderBy("at")))
-    later = Window.partitionBy("chain", "slot").orderBy("no").rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("chain", "slot").orderBy(F.desc("no")).rangeBetween(Window.unboundedPreceding, -1)
     nxt = lambda k: F.min(F.when(F.col("stage") == k, F.struct("no", "at"))).over(later)
     ranked = ranked.withColumn("n1", nxt(1)).withColumn("n2", nxt(2))
     # a row of stage 1 knows its own next row of stage 2; carry that along with the next row of stage 1

@@ -35,6 +35,16 @@ def test_query(spark, duck, name):
     assert rows(sorted(names), [r.asDict() for r in df.collect()]) == rows(sorted(names), want)
 
 
+def test_chain_match_with_more_open_chains_than_the_cap(spark, tmp_path):
+    c = duckdb.connect()
+    kinds = "CASE WHEN k < 150 THEN 'signup' WHEN k % 3 = 0 THEN 'purchase' WHEN k % 3 = 1 THEN 'error' ELSE 'signup' END"
+    c.execute(f"copy (select k as event_id, timestamp '2024-01-01' + to_seconds(k) as ts, k % 7 as user_id, {kinds} as event_type, '{{}}' as props from range(400) t(k)) to '{tmp_path}/events.parquet'")
+    c.execute(f"create view events as from '{tmp_path}/events.parquet'")
+    want = dict(c.execute(f"select line_number, chain_id from ({catalog.ORACLES['chain_match']})").fetchall())
+    got = {r["line_number"]: r["chain_id"] for r in catalog.QUERIES["chain_match"](spark, str(tmp_path)).collect()}
+    assert "signup-buy-fail-150" in want.values() and got == want
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "score" in df.columns
