@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import lean, small_batches, stored
-from .tokens import encoder
+from .tokens import encoder, id_type
 
 END = 1
 DIMS, BITS = 4, 12
@@ -77,21 +77,36 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return h
 
 
+def projections(every: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
+    """The summed ``signs`` of each array of ids over the root of its length; none gives zeros.
+
+    A sum of signs follows from the number of positive ones, and those of all columns are counted at once, 16 bits each.
+    """
+    size = np.array([len(x) for x in every], np.int64)
+    out = np.zeros((len(every), DIMS), np.float32)
+    lanes = ((signs > 0).astype(np.uint64) << (16 * np.arange(DIMS, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+    some = np.flatnonzero((size > 0) & (size < 1 << 16))
+    if len(some):
+        flat = np.concatenate([every[k] for k in some])
+        sums = np.add.reduceat(lanes[flat], np.cumsum(size[some]) - size[some])
+        count = (sums[:, None] >> (16 * np.arange(DIMS, dtype=np.uint64))) & np.uint64(0xFFFF)
+        out[some] = (2 * count.astype(np.int64) - size[some, None]) / np.sqrt(size[some, None])
+    for k in np.flatnonzero(size >= 1 << 16):
+        out[k] = signs[every[k]].sum(axis=0, dtype=np.int64) / np.sqrt(size[k])
+    return out
+
+
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids binary, n, p0..p3): ids with the end id, and the summed projection over sqrt(n)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         enc = encoder(tokenizer)
-        signs = directions(enc.library.get_vocab_size()).astype(np.float32)
+        signs, end = directions(enc.library.get_vocab_size()), np.array([END], enc.dtype).tobytes()
         for b in batches:
             every = enc.encode_all(b.column(1).to_pylist())
-            raw, n, proj = [], [], np.zeros((len(every), DIMS), np.float32)
-            for k, ids in enumerate(every):
-                raw.append(ids.tobytes() + np.array([END], enc.dtype).tobytes())
-                n.append(len(ids) + 1)
-                if len(ids):
-                    proj[k] = signs[ids].sum(axis=0) / np.sqrt(len(ids))
+            raw, n = [ids.tobytes() + end for ids in every], [len(ids) + 1 for ids in every]
+            proj = projections(every, signs)
             cols = [b.column(0), pa.array(raw, pa.binary()), pa.array(n, pa.int64()), *(pa.array(proj[:, j].astype(np.float64)) for j in range(DIMS))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "n", *(f"p{j}" for j in range(DIMS))])
         enc.forget()
@@ -124,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, per_task: int = 32 <
     ``per_task`` is the bytes of ids that one task should get; the number of tasks follows the corpus.
     """
     spark = docs.sparkSession
-    wide = encoder(tokenizer).dtype.itemsize
+    wide = id_type(tokenizer).itemsize
     rows = placed(stored(tokenised(docs, tokenizer), "tokens")).select("key", "tie", "doc_id", "ids", "n")
     total = rows.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")) if total else 1, -(-total * wide // per_task))

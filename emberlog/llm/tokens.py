@@ -2,7 +2,7 @@
 
 The library's own encoder takes about 1 MB/s of such texts on a core, and most words occur many times.
 The vocabulary's pattern never lets a token reach back over white space. So the words of a batch of texts
-are numbered in Arrow's hash table, words not seen before run through the same file's merges together
+are looked up in Arrow's hash table of those met before, new words run through the same file's merges together
 (in these files an id is its merge rank, which ``tiktoken`` takes), and the texts' ids are gathered with
 numpy from the words' ids. Texts with other white space than single spaces and newlines are encoded whole;
 texts with a special token's string or odd control characters, and files of another kind, go to the
@@ -35,6 +35,10 @@ def _alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _type(library: Tokenizer) -> np.dtype:
+    return np.dtype("<u2" if library.get_vocab_size() <= 1 << 16 else "<u4")
+
+
 class Encoder:
     """``encode_all(texts)`` gives an array of ids for each; unsigned, of 16 bits if the vocabulary allows it."""
 
@@ -44,7 +48,7 @@ class Encoder:
             spec = json.load(f)
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.odd = [*special, *ODD]
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = _type(self.library)
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.core, self.cached = None, cached
@@ -59,7 +63,7 @@ class Encoder:
 
     def forget(self) -> None:
         """Empty the cache, as at the end of a task: idle workers should hold no memory."""
-        self.number: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())  # words met so far; a word's place is its number
         self.flat, self.start, self.length = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -86,13 +90,17 @@ class Encoder:
         if not texts:
             return []
         lists = pc.split_pattern(pa.array(["\n" + t.replace("\n", " \n") for t in texts], pa.large_string()), " ")
-        coded = lists.flatten().dictionary_encode()
-        words, bounds = coded.dictionary.to_pylist(), lists.offsets.to_numpy()
-        if len(self.number) > self.cached:
+        words, bounds = lists.flatten(), lists.offsets.to_numpy()
+        if len(self.known) > self.cached:
             self.forget()
-        self._learn([w for w in words if w not in self.number])
-        places = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-        at = places[coded.indices.to_numpy()]
+        found = pc.index_in(words, value_set=self.known)
+        if found.null_count:  # only words not met before become Python strings
+            before, unknown = len(self.known), found.is_null()
+            self._learn(words.filter(unknown).unique().to_pylist())
+            at = found.fill_null(0).to_numpy().astype(np.int64)
+            at[unknown.to_numpy(zero_copy_only=False)] = before + pc.index_in(words.filter(unknown), value_set=self.known.slice(before)).to_numpy()
+        else:
+            at = found.to_numpy().astype(np.int64)
         size = self.length[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1])]
@@ -112,12 +120,18 @@ class Encoder:
             if starts_line:  # each keeps the newline before it
                 ids, first, last = np.concatenate([[self.newline], ids]).astype(self.dtype), first, last + 1
             base = len(self.flat)
-            self.number.update(zip(own, range(len(self.start), len(self.start) + len(own))))
+            self.known = pa.concat_arrays([self.known, pa.array(own, pa.large_string())])
             self.flat = np.concatenate([self.flat, ids])
             self.start = np.concatenate([self.start, first + base])
             self.length = np.concatenate([self.length, last - first])
 
 
+@lru_cache(maxsize=4)
+def id_type(path: str) -> np.dtype:
+    """The type of an encoder's ids, without the encoder's tables: the driver needs no more."""
+    return _type(Tokenizer.from_file(path))
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process."""

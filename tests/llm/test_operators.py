@@ -417,6 +417,24 @@ def test_url_verdicts_are_naive_bayes(spark):
 # ---- 7
 
 
+def test_projections_are_sums_of_signs():
+    rng, signs = np.random.default_rng(1), packing.directions(50_000)
+    every = [rng.integers(0, 50_000, n).astype("<u2") for n in (0, 5, 1, 70_000, 65_535, 300)]  # past what 16 bits count, too
+    got = packing.projections(every, signs)
+    assert not got[0].any()
+    for ids, own in zip(every[1:], got[1:]):
+        assert (own == (signs[ids].sum(axis=0, dtype=np.int64) / np.sqrt(len(ids))).astype(np.float32)).all()
+
+
+def test_words_met_before_are_not_learned_again(docs):
+    texts = [r["text"] for r in docs.select("text").limit(60).collect()]
+    enc, learned = Encoder(registry.TOKENIZER), []
+    enc._learn, learn = lambda new: (learned.append(new), learn(new)), enc._learn
+    some, every, again = ([x.tolist() for x in enc.encode_all(part)] for part in (texts[:20], texts, texts))
+    assert len(learned) <= 2 and len({*(w for x in learned for w in x)}) == sum(map(len, learned)) == len(enc.known)
+    assert some == every[:20] and every == again and len(every) > 20
+
+
 def test_simhash(spark, docs):
     def brute(t):
         w = bwords(t)
