@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from emberlog.llm import ann, near_dup, registry, sql
+from emberlog.llm import _common, _words, ann, near_dup, packing, registry, sql, tokens
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
@@ -102,6 +102,15 @@ def test_ann_recall_at_every_twentieth(spark):
     assert set(got) == {*queries} and hits >= 0.9 * 10 * len(queries)
 
 
+def test_driver_holds_no_tables_and_starts_no_processes(spark):
+    """Planning the packing needs no encoder on the driver, and a written table no marker whose mode a process sets."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    tokens.encoder.cache_clear()
+    assert packing.pack(docs, registry.TOKENIZER).select("doc_id").distinct().count() == 2 and tokens.encoder.cache_info().currsize == 0
+    (file,) = {f.rpartition("/")[0].removeprefix("file://") for f in _common.stored(docs, "marker").inputFiles()}
+    assert not [f for f in os.listdir(file) if "SUCCESS" in f]
+
+
 def _shingles(text):
     w = text.split()
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
@@ -112,6 +121,20 @@ def _alike(a, b):
     return len(a & b) / len(a | b)
 
 
+def test_near_dedup_is_by_simhash():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    marks = [near_dup.fingerprint(base), near_dup.fingerprint(np.concatenate([base[100:], rng.integers(0, 1 << 63, 100, dtype=np.uint64)])), near_dup.fingerprint(rng.integers(0, 1 << 63, 900, dtype=np.uint64))]
+    bits = [[bool(_words.mixed(np.array([h]) ^ near_dup._WORDS)[k // 64] >> np.uint64(k % 64) & np.uint64(1)) for k in (0, 70, 511)] for h in base]
+    votes = np.array(bits).sum(axis=0)
+    assert [bool(marks[0][k // 8] >> (k % 8) & 1) for k in (0, 70, 511)] == [bool(2 * v > len(base)) for v in votes]
+    apart = lambda a, b: int(np.bitwise_count(marks[a] ^ marks[b]).sum())
+    assert apart(0, 1) <= near_dup.most_bits(0.8, 512, 6) < apart(0, 2)  # 800 of 1,000 shingles shared
+    for n in (1_000, 1_000_000):
+        keys = near_dup.keys_of(np.stack(marks), range(192), near_dup.key_bits(n))
+        assert (keys[:, 0] == keys[:, 1]).any()
+
+
 @pytest.mark.parametrize("small", [32, 1])
 def test_near_duplicates_reach_similarity(spark, small):
     rng = random.Random(21)
