@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lean, small_batches, word_slices
+from ._common import lean, small_batches, sparing, tidy, word_slices
 
 #: Frequent function words by language, for the guess that picks a threshold.
 FUNCTION_WORDS = {
@@ -395,4 +395,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def trained(docs: DataFrame, labels: DataFrame, p: Params = Params(), fit_rows=None) -> Model:
-    return fit(sample(docs, labels, p, fit_rows), p)
+    """A model fitted on the driver, which keeps nothing of the sample and the steps."""
+    sparing()
+    try:
+        return fit(sample(docs, labels, p, fit_rows), p)
+    finally:
+        tidy()
