@@ -169,3 +169,48 @@ def test_near_duplicates_reach_similarity(spark, small):
         assert own[0] in kept
         assert all(_alike(text[a], text[b]) < 0.8 for a in kept for b in kept if a < b)
         assert all(any(_alike(text[d], text[o]) >= 0.8 for o in own if o != d) for d in own if d not in stay)
+
+
+def test_group_of_near_copies_lists_few_pairs_and_loses_no_link(spark, monkeypatch):
+    """Copies of one text, most of them just under 0.8 alike: pairs that are looked at follow the rows, components are those of all pairs."""
+    rng = random.Random(22)
+    base, texts = [f"w{k}" for k in range(200)], []
+    for k in range(180):
+        near = list(base)
+        for at in rng.sample(range(len(near)), 1 if k % 9 == 4 else rng.randint(3, 6)):
+            near[at] = f"x{rng.randint(0, 10**9)}"
+        texts.append(" ".join(near))
+    seen = []
+    for name in ("_within", "_close"):
+        own = getattr(near_dup, name)
+        monkeypatch.setattr(near_dup, name, lambda pairs, *more, own=own: seen.append(pairs.count()) or own(pairs, *more))
+    monkeypatch.setattr(near_dup, "_ITEMS", 4000, raising=False)  # a family of several blocks
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    stay = {r["doc_id"] for r in near_dup.kept(df).collect()}
+    assert sum(seen) <= 20 * len(texts)  # all pairs are 16,110
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if root[a] != root[b] and _alike(texts[a], texts[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert stay == set(root) and 20 < len(stay) < 170
+
+
+def test_forest_joins_what_all_close_pairs_join():
+    rng = np.random.default_rng(5)
+    flips = rng.random((60, 512)) < rng.choice([0.02, 0.1, 0.3], (60, 1))
+    bits = rng.integers(0, 2, (3, 512))[rng.integers(0, 3, 60)] ^ flips
+    marks = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    close = np.bitwise_count(marks[:, None] ^ marks[None]).sum(axis=2, dtype=np.int64) <= 100
+    family = np.where(np.arange(60) % 7 == 0, -1, np.arange(60))
+
+    def joined(pairs):
+        root = family.copy()
+        for a, b in pairs:
+            root[root == root[b]] = root[a]
+        return [[*(root == r)] for r in root]
+
+    found = near_dup._forest(marks, family, 100)
+    assert all(close[a, b] for a, b in found) and len(found) < 60
+    assert joined(found) == joined(np.argwhere(close))
